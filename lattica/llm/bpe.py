@@ -10,16 +10,30 @@ encoded whole.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 
 #: Chunks are cut at these four; a text with any other white space goes whole.
 CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: A text with none of these, and no blank at either end, is cut by splitting at blanks alone.
+UNEVEN = ("\t", "\r", "  ", " \n", "\n ", "\n\n")
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
+def key_of(chunk: str) -> str:
+    """A chunk's name in the table: a leading blank is left out, what has none is marked by a carriage return."""
+    if chunk[0] == " " and chunk[1:2] not in ("", "\n", "\r"):
+        return chunk[1:]
+    return chunk if chunk[0] == "\n" else "\r" + chunk
+
+
+def chunk_of(key: str) -> str:
+    return key[1:] if key[0] == "\r" else key if key[0] == "\n" else " " + key
+
+
 class ChunkEncoder:
     """Encodes texts to flat arrays of ids. ``limit``: chunks that the table keeps.
 
@@ -54,25 +68,32 @@ class ChunkEncoder:
         self.used += len(ids)
         self.known.update(zip(chunks, range(first, first + n)))
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, keys: list[str]) -> None:
         """Encodes chunks that the table lacks, each apart from the others."""
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+        for at in range(0, len(keys), 20_000):
+            part = keys[at : at + 20_000]
+            done = self.tokenizer.encode([chunk_of(k) for k in part], is_pretokenized=True, add_special_tokens=False)
             words = np.array(done.word_ids, np.int64)
             self._add(part, np.array(done.ids, np.uint32), np.bincount(words, minlength=len(part)))
 
     def _learn_missing(self, missing: Iterable[str]) -> None:
         """A letter before a last full stop or comma ends a pre-token: such chunks are put together from two."""
         joined, alone = [], []
-        for chunk in missing:
-            (joined if len(chunk) > 2 and chunk[-1] in ".," and chunk[-2].isalpha() else alone).append(chunk)
-        stems = {chunk[:-1] for chunk in joined}
-        stems.update({".", ","} if joined else ())
-        self._learn(list((stems - self.known.keys()).union(alone)))
+        for key in missing:
+            (joined if len(key) > 2 and key[-1] in ".," and key[-2].isalpha() else alone).append(key)
+        known = self.known
+        stems = [key[:-1] for key in joined]
         if joined:
-            pairs = np.array([[self.known[c[:-1]], self.known[c[-1]]] for c in joined], np.int64)
+            self._learn(list(dict.fromkeys([*alone, *(k for k in [*stems, "\r.", "\r,"] if k not in known)])))
+            pairs = np.empty((len(joined), 2), np.int64)
+            pairs[:, 0] = np.fromiter(map(known.__getitem__, stems), np.int64, len(stems))
+            pairs[:, 1] = [known["\r" + key[-1]] for key in joined]
+            fresh = [i for i, key in enumerate(joined) if key not in known]
+            if len(fresh) < len(joined):
+                joined, pairs = [joined[i] for i in fresh], pairs[fresh]
             self._add(joined, self.gather(pairs.ravel()), self.length[pairs].sum(1))
+        else:
+            self._learn(alone)
 
     def gather(self, index: np.ndarray) -> np.ndarray:
         """The ids of these entries of the table, one after the other."""
@@ -89,21 +110,28 @@ class ChunkEncoder:
             if OTHER_SPACE.search(text) or any(s in text for s in self.special):
                 whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
-                found = CHUNK.findall(text)
+                if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNEVEN):
+                    found = list(map(key_of, CHUNK.findall(text)))
+                else:
+                    found = text.replace("\n", " \n").split(" ")
+                    found[0] = "\r" + found[0]
                 n_chunks[i] = len(found)
                 chunks += found
-        index = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
-        if len(absent := np.flatnonzero(index < 0)):
-            if len(self.known) > self.limit and len(absent) > len(chunks) // 5:  # another kind of text has begun
+        place: defaultdict[str, int] = defaultdict(count().__next__)
+        places = np.fromiter(map(place.__getitem__, chunks), np.int64, len(chunks))
+        entry = np.fromiter(map(self.known.get, place, repeat(-1)), np.int64, len(place))
+        before, used = len(self.known), self.used
+        if len(absent := np.flatnonzero(entry < 0)):
+            if before > self.limit and len(absent) > len(entry) * 2 // 3:  # another kind of text has begun
                 self.clear()
-                absent = np.arange(len(chunks))
-            before, used = len(self.known), self.used
-            lacking = [chunks[i] for i in absent]
-            missing = dict.fromkeys(lacking)
+                absent, before, used = np.arange(len(entry)), 0, 0
+            keys = list(place)
+            missing = [keys[i] for i in absent]
             self._learn_missing(missing)
-            index[absent] = np.fromiter(map(self.known.__getitem__, lacking), np.int64, len(lacking))
+            entry[absent] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
+        index = entry[places]
         ids, ends = self.gather(index), np.concatenate([[0], np.cumsum(self.length[index])])
-        if len(absent) and before > self.limit:  # the table is full: what this call added goes again
+        if len(self.known) > before > self.limit:  # the table is full: what this call added goes again
             for _ in range(len(self.known) - before):
                 self.known.popitem()
             self.used = used

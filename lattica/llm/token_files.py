@@ -113,7 +113,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, pl
     bpe = encoder(vocabulary, plain)
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
-        for first, texts in text_slices(batch.column(1).to_pylist()):
+        for first, texts in text_slices(batch.column(1).to_pylist(), 1 << 18):
             ids, counts = bpe.encode(texts)
             ids = np.insert(ids, np.cumsum(counts), end_id)
             yield doc_ids[first : first + len(texts)], ids, counts + 1
