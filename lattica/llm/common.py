@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,3 +68,20 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    name = f"{tempfile.mkdtemp(prefix='lattica-')}/{top.name}.zip"
+    with zipfile.ZipFile(name, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    spark.sparkContext.addPyFile(name)  # Spark serves it from there for as long as it runs
+    _SHIPPED.add(app)

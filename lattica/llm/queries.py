@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sentence_pieces, token_files
+from . import language, quality, secrets, sentence_pieces, token_files
+from .common import ship, stored
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,11 +27,33 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(manifest)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from the labels of four folds of five."""
+    stats = stored(quality.document_statistics(_table(spark, sf_dir, "documents")), "statistics")
+    labels = _table(spark, sf_dir, "labels")
+    model = quality.fit(stats, labels.filter(quality.fold(labels["doc_id"]) != 0))
+    scored = quality.score(stats, model)
+    return scored.select("doc_id", (quality.fold(scored["doc_id"]) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for every document, from dictionaries of texts of four folds of five."""
+    docs = _table(spark, sf_dir, "documents")
+    contents = language.dictionaries(docs.filter(quality.fold(docs["doc_id"]) != 0))
+    found = language.classify(docs, contents)
+    return found.select("doc_id", (quality.fold(found["doc_id"]) == 0).alias("held_out"), "lang_pred", "score", "confident")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text, and the text from them, as digests."""
     return sentence_pieces.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ids=False, digests=True)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text, as counts, a digest of the base spans and all spans."""
+    return secrets.scan(_table(spark, sf_dir, "documents"), digests=True)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document, end id included, counted in flat files by a scan for end ids."""
     end = 50256
@@ -38,7 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op7_sentencepiece, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_binary, op2_quality, op3_language, op7_sentencepiece, op8_secrets, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
