@@ -3,12 +3,13 @@
 Each language has a zstandard raw-content dictionary made of training texts. A
 text is cut into pieces, all of them are compressed with every dictionary, and
 the language with the fewest bytes wins. Where the two best are closer than
-``margin`` (as a share of the bytes), the result is not ``confident``; callers
+``margin`` (as a share of the bytes), the text is compressed again at a higher
+level; if they are close then too, the result is not ``confident``, and callers
 that reject such texts read that column.
 
 A text that is null or has no letter is ``und`` with score 0. With no
 dictionary at all (no labelled row), every text is ``und``. Ties go to the
-language that sorts first. Repeated rows get equal results.
+language that comes first in the dictionaries, the one with most rows to learn from. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def dictionaries(docs: DataFrame, dictionary_bytes: int = 48 << 10, sample_docs:
     share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
     found = hashed.filter(share < low).groupBy("lang", "h").agg(F.min(F.substring("text", 1, each)).alias("text")).collect()
     out = {}
-    for lang in counts:
+    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         texts = [r["text"] for r in sorted((r for r in found if r["lang"] == lang), key=lambda r: r["h"])]
         out[lang] = " ".join(texts).encode()[:dictionary_bytes]
     return out
@@ -55,26 +56,30 @@ def dictionaries(docs: DataFrame, dictionary_bytes: int = 48 << 10, sample_docs:
 class Compressors:
     """The digested dictionaries of one process."""
 
-    def __init__(self, contents: dict[str, bytes], level: int = 1):
+    def __init__(self, contents: dict[str, bytes], levels: tuple[int, int] = (6, 12)):
         import zstandard as z
 
-        self.langs = sorted(contents)
-        self.each = []
-        for lang in self.langs:
-            content = z.ZstdCompressionDict(contents[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=level)
-            self.each.append(z.ZstdCompressor(level=level, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.langs = list(contents)
+        self.each = [[], []]
+        for level, made in zip(levels, self.each):
+            for lang in self.langs:
+                content = z.ZstdCompressionDict(contents[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
+                content.precompute_compress(level=level)
+                made.append(z.ZstdCompressor(level=level, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def sizes(self, text: str) -> np.ndarray:
+    def sizes(self, text: str, closer: bool = False) -> np.ndarray:
+        """Bytes by language; ``closer``: at the higher level, which costs twice as much."""
         data = text.lower().encode("utf-8", "replace")
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-        return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.each], np.float64)
+        return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.each[closer]], np.float64)
 
     def classify(self, text: str | None, margin: float) -> tuple[str, float, bool]:
         """(language, score, whether the margin is wide enough)."""
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0, False
         sizes = self.sizes(text)
+        if len(sizes) > 1 and np.partition(sizes, 1)[1] - sizes.min() < margin * sizes.min():
+            sizes = self.sizes(text, closer=True)
         best = int(sizes.argmin())
         score = 1 / np.exp(-(sizes - sizes[best]) / TEMPERATURE).sum()
         next_best = np.partition(sizes, 1)[1] if len(sizes) > 1 else np.inf
