@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, order_minhash, quality, secrets, sentence_pieces, token_files
+from . import language, mixing, order_minhash, quality, secrets, sentence_pieces, token_files
 from .common import ship, stored
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -49,6 +49,14 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a mix of all sources by weights 1, 2, 3 takes of each document."""
+    docs = _table(spark, sf_dir, "documents")
+    rows, sizes, targets = mixing.mix(docs, F.array(docs["source"]))
+    facts = spark.createDataFrame([([s], sizes[s], targets[s]) for s in sizes], "p array<string>, source_size long, target double")
+    return rows.join(F.broadcast(facts), F.col("sources") == F.col("p")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text, and the text from them, as digests."""
     return sentence_pieces.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ids=False, digests=True)
@@ -68,7 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op2_quality, op3_language, op5_fingerprint, op7_sentencepiece, op8_secrets, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_binary, op2_quality, op3_language, op5_fingerprint, op6_mixing, op7_sentencepiece, op8_secrets, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
