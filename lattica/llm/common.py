@@ -1,9 +1,8 @@
-"""What the operators of this subpackage share: the shared folder and batch handling."""
+"""What the operators of this subpackage share: batch handling and shipping of modules; and, from the library, the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -11,38 +10,12 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import new_path, shared_dir, stored  # noqa: F401
+
 #: Characters of text that a Python step turns into arrays at a time; longer texts go alone.
 SLICE_CHARS = 1 << 21
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (as in tests) a folder of our own is made and set.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
-        known = checkpoint.get() if checkpoint.isDefined() else None
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="lattica-")
-        spark.sparkContext.setCheckpointDir(known)
-    return known if ":" in known else "file://" + known
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def column(df: DataFrame, name: str):
     """The column of exactly this name, whatever characters it has."""
     return df["`" + name.replace("`", "``") + "`"]
