@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, order_minhash, quality, secrets, sentence_pieces, token_files
+from . import language, mixing, near_duplicates, order_minhash, quality, secrets, sentence_pieces, token_files
 from .common import ship, stored
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -44,6 +44,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (quality.fold(found["doc_id"]) == 0).alias("held_out"), "lang_pred", "score", "confident")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose two-word shingles agree to 80 per cent."""
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order min-hash of every document, held against its edited text and the next document."""
     return order_minhash.edit_likeness(_table(spark, sf_dir, "documents"))
@@ -76,7 +81,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op2_quality, op3_language, op5_fingerprint, op6_mixing, op7_sentencepiece, op8_secrets, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_binary, op2_quality, op3_language, op4_near_duplicates, op5_fingerprint, op6_mixing, op7_sentencepiece, op8_secrets, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
