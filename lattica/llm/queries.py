@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, near_duplicates, order_minhash, quality, secrets, sentence_pieces, token_files
+from . import embedding_duplicates, language, mixing, near_duplicates, order_minhash, quality, secrets, sentence_pieces, token_files
 from .common import ship, stored
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -72,6 +72,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"), digests=True)
 
 
+def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95."""
+    return embedding_duplicates.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document, end id included, counted in flat files by a scan for end ids."""
     end = 50256
@@ -81,7 +86,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op2_quality, op3_language, op4_near_duplicates, op5_fingerprint, op6_mixing, op7_sentencepiece, op8_secrets, op10_token_counts)}
+    return {f.__name__: f for f in (op1_token_binary, op2_quality, op3_language, op4_near_duplicates, op5_fingerprint, op6_mixing, op7_sentencepiece, op8_secrets, op9_embedding_duplicates, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
