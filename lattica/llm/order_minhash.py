@@ -127,7 +127,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the last the first; a single document follows itself. The texts are shuffled
     once: ids are cut into ranges, and the range above also gets the greatest id
     of the one below, the lowest that of the highest. The driver sees one row a
-    range. Rows that repeat are documents of their own.
+    range; there are as many ranges as shuffle partitions. Rows that repeat are documents of their own.
     """
     least = -(2**63)
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
@@ -138,7 +138,8 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if found:
             yield pa.RecordBatch.from_pydict({"low": [min(found)], "high": [max(found)]})
 
-    ranges = sorted(rows.select(key.alias("k")).repartitionByRange("k").sortWithinPartitions("k").mapInArrow(ends, "low long, high long").collect())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = sorted(rows.select(key.alias("k")).repartitionByRange(parts, "k").sortWithinPartitions("k").mapInArrow(ends, "low long, high long").collect())
     n = max(1, len(ranges))
     lows, highs = [r.low for r in ranges], [r.high for r in ranges]
 
