@@ -171,3 +171,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     out = every.select("doc_id", "n", "c1", "c2").join(whole, ["c1", "c2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def one_row_an_id(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Of the rows that share an id one stays, the least by text; null ids all stay.
+
+    Ids that repeat are found on their own; only their rows are compared.
+    """
+    repeated = stored(docs.filter(column(docs, id_col).isNotNull()).groupBy(column(docs, id_col).alias("__id")).agg(F.count("*").alias("__n")).filter("__n > 1"), "repeated").select("__id")
+    alone = docs.join(repeated, column(docs, id_col) == repeated["__id"], "left_anti")
+    shared = docs.join(repeated, column(docs, id_col) == repeated["__id"], "left_semi")
+    least = shared.groupBy(column(shared, id_col).alias("__id")).agg(F.min_by(F.struct(*[column(shared, c) for c in shared.columns]), F.coalesce("text", F.lit(""))).alias("__row"))
+    return alone.unionByName(least.select("__row.*"))

@@ -23,12 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column
 
 STATISTICS = ("length", "letters", "upper", "digits", "marks", "symbols", "lines", "word_length", "distinct", "repeats", "top_mark")
 #: Characters that a short text is filled up with, so that its rates do not jump.
 PRIOR = 40.0
+#: The column that ``score_documents`` adds.
+SCORE = "__quality_score"
 LETTER, UPPER, DIGIT, SPACE, LINE, MARK, SYMBOL = 1, 2, 4, 8, 16, 32, 64
 
 
@@ -156,13 +159,13 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """``docs``, all columns, with the score appended as ``quality_score``, in one pass over the texts."""
-    out = docs.schema.add("quality_score", "double")
+    """``docs``, all columns, with the score appended as ``SCORE``, in one pass over the texts."""
+    out = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             x = np.array([statistics(t or "") for t in texts], np.float64).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], names=[*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], names=[*batch.schema.names, SCORE])
 
     return docs.mapInArrow(run, out)

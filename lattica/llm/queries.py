@@ -64,7 +64,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text, and the text from them, as digests."""
-    return sentence_pieces.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ids=False, digests=True)
+    return sentence_pieces.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ids=False, decoded=False, digests=True)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import column, text_slices
 
@@ -81,29 +82,34 @@ def table(path: str) -> ChunkTable:
     return _TABLES[path]
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True, digests: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Encodes each text and decodes its ids again: no shuffle, one row out per row in.
 
-    Columns: doc_id, n_tokens, then ``ids`` (array of int) and ``decoded`` if
-    ``ids``, and ids_sha256, decoded_sha256 if ``digests``. A null text counts
-    as empty: begin and end id alone, decoded "". Null doc_ids and repeated rows
-    come out as they went in; other columns are left behind.
+    Columns: doc_id, those named in ``keep``, n_tokens, then ``ids`` (array of
+    int) if ``ids``, ``decoded`` if ``decoded``, and ids_sha256, decoded_sha256 if
+    ``digests``. A null text counts as empty: begin and end id alone, decoded "".
+    Null doc_ids and repeated rows come out as they went in; other columns are
+    left behind.
     """
-    fields = "doc_id long, n_tokens long" + ", ids array<int>, decoded string" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
+    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), *[column(docs, c) for c in keep], column(docs, text_col).cast("string").alias("__text"))
+    more = [("n_tokens", T.LongType()), *[("ids", T.ArrayType(T.IntegerType()))] * ids, *[("decoded", T.StringType())] * decoded, *[("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] * digests]
+    schema = T.StructType(rows.schema.fields[:-1] + [T.StructField(*x) for x in more])
 
     def run(batches):
         chunks = table(model)
         decode = chunks.library.decode
         for batch in batches:
-            doc_ids = batch.column(0)
-            for first, texts in text_slices(batch.column(1).to_pylist(), 1 << 20):
+            for first, texts in text_slices(batch.column(batch.num_columns - 1).to_pylist(), 1 << 20):
                 found = chunks.encode(texts)
-                back = [decode(x.tolist()) for x in found]
-                out = {"doc_id": doc_ids.slice(first, len(texts)), "n_tokens": np.array([len(x) for x in found], np.int64)}
+                out = [c.slice(first, len(texts)) for c in batch.columns[:-1]]
+                out.append(pa.array([len(x) for x in found], pa.int64()))
+                back = [decode(x.tolist()) for x in found] if decoded or digests else []
                 if ids:
-                    out |= {"ids": pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())), "decoded": pa.array(back, pa.string())}
+                    out.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
+                if decoded:
+                    out.append(pa.array(back, pa.string()))
                 if digests:
-                    out |= {"ids_sha256": [hashlib.sha256(x.astype("<u4")).hexdigest() for x in found], "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in back]}
-                yield pa.RecordBatch.from_pydict(out)
+                    out += [pa.array([hashlib.sha256(x.astype("<u4")).hexdigest() for x in found], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string())]
+                yield pa.RecordBatch.from_arrays(out, names=schema.fieldNames())
 
-    return docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text")).mapInArrow(run, fields)
+    return rows.mapInArrow(run, schema)
