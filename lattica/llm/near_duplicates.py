@@ -1,13 +1,15 @@
 """Near duplicates by bottom-k sketches of word shingles.
 
-One hash function orders all shingles; a document's sketch is its ``k`` least.
-Two documents whose sets have a Jaccard similarity of ``threshold`` share most of
-the sketch of their union, so with the retained values in a common order, rarest
-first, their first ``PREFIX`` values have one in common (sure for ``OVERLAP`` or
-more shared values; with k=64 and 0.8 these are five deviations below the mean).
-Inverted lists over those values alone give the candidates. The sketch of the
-union estimates a candidate pair's similarity; what may reach the threshold is
-verified on the full sets.
+One hash function orders all shingles; a document's sketch is its ``SKETCH``
+least. Two sets of similarity 0.8 have four shared elements for each that is not,
+so along the order of their union three shared ones follow each other (always,
+where a set fits its sketch, but for sets of four and five, whose pairs of values
+are listed too; else with a chance of a miss under one in a million over
+``RUNS`` places). Inverted lists are therefore kept for runs of three retained
+values: a value that many documents hold is split by the values that follow it,
+and common word pairs or passages make no long lists. The sketch of the union
+estimates a candidate pair's similarity; what may reach the threshold is verified
+on the full sets.
 
 Documents with equal sets are one class and stand for each other. In each list
 every class is first held against the least one; verified links make
@@ -33,8 +35,7 @@ from .common import column, stored, text_slices
 from .order_minhash import mixed
 from .shingles import shingle_set
 
-SKETCH, OVERLAP = 64, 36
-PREFIX = SKETCH - OVERLAP + 1
+SKETCH, RUNS = 64, 40
 #: An estimate from a full sketch may be this far below the similarity (five deviations at 0.8).
 SLACK = 0.25
 LEADER_ROUNDS = 8
@@ -59,17 +60,21 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
 
 
 def inverted_lists(reps: DataFrame) -> DataFrame:
-    """value, id: which classes retain a value among their rarest; values of one class alone are left out."""
-    values = reps.select("id", F.explode("sketch").alias("value"))
-    spread = values.groupBy("value").agg(F.count("*").alias("df"))
-    rarest = values.join(spread, "value").groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "value"))), 1, PREFIX).alias("rare"))
-    return rarest.select("id", F.explode("rare").alias("r")).filter("r.df > 1").select(F.col("r.value").alias("value"), "id")
-
-
-def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """value, id, least: which classes retain a run, and the least of them; runs of one class alone are left out."""
+    at = lambda i, j: F.get("sketch", i + j)
+    runs = F.transform(F.sequence(F.lit(0), F.least(F.size("sketch") - 3, F.when(F.col("n") > SKETCH, F.lit(RUNS - 1)).otherwise(F.lit(SKETCH)))), lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2)))
+    twos = F.transform(F.sequence(F.lit(0), F.size("sketch") - 2), lambda i: F.xxhash64(at(i, 0), at(i, 1)))
+    keys = F.when(F.col("n").isin(4, 5), F.concat(runs, twos)).otherwise(runs)
+    # sets of fewer than four elements are similar only if equal, and then they are one class
+    rows = reps.filter("n > 3").select("id", F.explode(keys).alias("value"))
+    least = rows.groupBy("value").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+    return rows.join(least.select("value", "least"), "value").select("value", "id", "least")
+
+
+def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose union sketch does not rule the threshold out."""
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").filter("na is not null").join(side("b"), "b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
+    both = pairs.join(side("a"), "a").filter("na is not null").join(side("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def run(batches):
         for batch in batches:
@@ -83,7 +88,7 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
                 else:
                     slack = 0.0
                 shared = np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)
-                keep.append(shared.sum() >= (threshold - slack) * len(union) - 1e-9)
+                keep.append(shared.sum() >= (percent / 100 - slack) * len(union) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -130,7 +135,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links), kept (it is the least) for each row."""
-    threshold = percent / 100
+    if percent < 80:
+        raise ValueError("runs of three values are sure to be shared at 80 per cent and more only")
     every = stored(sketches(docs, width, id_col, text_col), "sketches")
     classes = every.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("id"))
     found = every.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "c1", "c2", "n", "sketch")
@@ -139,21 +145,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         """Links among the candidate pairs; texts are read again only where an estimate asks for it."""
-        chances = stored(likely(pairs, reps, threshold), name)
+        chances = stored(likely(pairs, reps, percent), name)
         ids = chances.select(F.col("a").alias("id")).union(chances.select(F.col("b").alias("id"))).distinct()
         sets = stored(_sets_of(docs, ids, width, id_col, text_col).join(ids, "id", "left_semi").dropDuplicates(["id", "set"]), name + "-sets")
         return stored(verified(chances, sets, percent), name + "-links")
 
-    least = lists.groupBy("value").agg(F.min("id").alias("a"))
-    links = checked(lists.join(least, "value").filter("a < id").select("a", F.col("id").alias("b")).distinct(), "star")
+    links = checked(lists.filter("least < id").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    parts = stored(connected_components(links, "a", "b"), "components")
     n_lists = lists.count()
     for turn in range(LEADER_ROUNDS + 1):
         # lists whose classes lie in more than one component; the largest one need not be compared with itself
-        parts = connected_components(links, "a", "b")
         placed = lists.join(parts, "id", "left").select("value", "id", F.coalesce("component", "id").alias("component"))
         sizes = placed.groupBy("value", "component").agg(F.count("*").alias("m"))
         tops = sizes.groupBy("value").agg(F.sum("m").alias("total"), F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-        rest = stored(placed.join(tops.select("value", "total", F.col("top.m").alias("most"), F.col("top.component").alias("largest")), "value"), "rest")
+        rest = stored(placed.join(tops.select("value", "total", F.col("top.component").alias("largest")), "value"), "rest")
         left = rest.filter("component <> largest").agg(F.sum("total")).first()[0] or 0
         if not left:
             break
@@ -163,10 +168,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             outside = outside.groupBy("value").agg(F.min_by(F.struct("x", "cx", "largest"), F.xxhash64("x", F.lit(turn))).alias("s")).select("value", "s.*")
         others = rest.select("value", F.col("id").alias("y"), F.col("component").alias("cy"))
         pairs = outside.join(others, "value").filter("cx <> cy and (x < y or cy = largest)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = stored(links.unionByName(checked(pairs, "rest")), "links")
+        more = checked(pairs, "rest")
+        if more.isEmpty():
+            if last:
+                break
+            continue
+        links = stored(links.unionByName(more), "links")
+        parts = stored(connected_components(links, "a", "b"), "components")
         if last:
             break
-    parts = connected_components(links, "a", "b")
     whole = classes.join(parts, "id", "left").select("c1", "c2", "n", F.coalesce("component", "id").alias("component"))
     out = every.select("doc_id", "n", "c1", "c2").join(whole, ["c1", "c2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
