@@ -46,10 +46,15 @@ def _label_counts(edges: DataFrame) -> DataFrame:
     return out.union(into).distinct().groupBy("v", "side", "label").agg(F.count("*").alias("n"))
 
 
+def _variety(counts: dict) -> int:
+    """Distinct labels that are sure; unlabelled neighbours add at least one if there is no other."""
+    return max(len([x for x in counts if x is not None]), int(bool(counts)))
+
+
 def by_label_variety(candidates: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
     """v's neighbours have at least as many distinct labels as u's, on either side."""
     variety = _label_counts(edges).groupBy("v").agg(F.count_if(F.col("side") == "in").alias("has_in"), F.count_if(F.col("side") == "out").alias("has_out"))
-    wanted = _pattern_table(edges.sparkSession, pattern, "u long, need_in long, need_out long", lambda u: (u, *map(len, pattern.neighbour_labels(u))))
+    wanted = _pattern_table(edges.sparkSession, pattern, "u long, need_in long, need_out long", lambda u: (u, *map(_variety, pattern.neighbour_labels(u))))
     rows = candidates.join(wanted, "u").join(variety, "v", "left")
     return rows.filter((F.coalesce("has_in", F.lit(0)) >= F.col("need_in")) & (F.coalesce("has_out", F.lit(0)) >= F.col("need_out"))).select("u", "v")
 
@@ -90,8 +95,9 @@ def steady(candidates: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFra
     wanted = F.broadcast(spark.createDataFrame(needs, "u long, a long, want long, need long"))
     have = degrees(edges.select("src", "dst").distinct()).select(F.col("id").alias("src"), "in_degree")
     # the best in-degree of each label is all that counts
-    best = edges.select("src", "dst", "src_label").distinct().join(have, "src").groupBy(F.col("dst").alias("v"), F.col("src_label").alias("want")).agg(F.max("in_degree").alias("best"))
-    met = candidates.join(wanted, "u").join(best, ["v", "want"]).filter("best >= need").groupBy("u", "v").agg(F.count_distinct("a").alias("met"))
+    sided = edges.select("src", "dst", "src_label").distinct().join(have, "src").withColumn("want", F.explode(F.array("src_label", F.lit(None).cast("long"))))
+    best = sided.groupBy(F.col("dst").alias("v"), F.col("want").alias("of")).agg(F.max("in_degree").alias("best"))
+    met = candidates.join(wanted, "u").join(best, "v").filter(F.col("want").eqNullSafe(F.col("of"))).filter("best >= need").groupBy("u", "v").agg(F.count_distinct("a").alias("met"))
     total = F.broadcast(wanted.groupBy("u").agg(F.count("*").alias("conditions")))
     return candidates.join(total, "u", "left").join(met, ["u", "v"], "left").filter("conditions is null or met = conditions").select("u", "v")
 
