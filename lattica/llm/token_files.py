@@ -182,7 +182,7 @@ def read_blocks(manifest: DataFrame) -> DataFrame:
                 ids = shard.read_block(row["block"])
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([row["shard"]], pa.int64()), "block": pa.array([row["block"]], pa.int64()), "first": [shard.header["blocks"][row["block"]]["first"]], "ids": pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))})
 
-    blocks = manifest.select("shard", "file").mapInArrow(places, "shard long, file string, block int")
+    blocks = manifest.select("shard", "file").mapInArrow(places, "shard long, file string, block long")
     return blocks.repartition("shard", "block").mapInArrow(read, "shard long, block long, first long, ids array<long>")
 
 
