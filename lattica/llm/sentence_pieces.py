@@ -27,7 +27,7 @@ CHUNK = re.compile(" *[^ ]+| +")
 class ChunkTable:
     """Encodes texts by distinct chunks. ``limit``: chunks that the table keeps."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
