@@ -39,6 +39,8 @@ SKETCH, RUNS = 64, 40
 #: An estimate from a full sketch may be this far below the similarity (five deviations at 0.8).
 SLACK = 0.25
 LEADER_ROUNDS = 8
+#: Up to so many pairs a list entry, what the first leaders leave is compared at once.
+ALL_AT_ONCE = 20
 #: log2 of the bits of the filter for documents whose sets are needed: a fixed half a megabyte.
 FILTER_BITS = 22
 
@@ -162,7 +164,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         left = rest.filter("component <> largest").agg(F.sum("total")).first()[0] or 0
         if not left:
             break
-        last = turn == LEADER_ROUNDS or left <= 20 * n_lists
+        last = turn == LEADER_ROUNDS or left <= ALL_AT_ONCE * n_lists
         outside = rest.filter("component <> largest").select("value", F.col("id").alias("x"), F.col("component").alias("cx"), "largest")
         if not last:
             outside = outside.groupBy("value").agg(F.min_by(F.struct("x", "cx", "largest"), F.xxhash64("x", F.lit(turn))).alias("s")).select("value", "s.*")
