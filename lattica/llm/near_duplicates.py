@@ -12,10 +12,11 @@ estimates a candidate pair's similarity; what may reach the threshold is verifie
 on the full sets.
 
 Documents with equal sets are one class and stand for each other. In each list
-every class is first held against the least one; verified links make
-components, and only pairs of a list that still lie in different components are
-compared after that. No list is cut short: where very many such pairs are left,
-rounds with other leaders come first, and then all that remain.
+every class is first held against the least one, and verified links make
+components. Lists with the same least class are one group; where a group is still
+more than one component, all its pairs between components are compared in blocks,
+by sketches and then by the full sets. No list is cut short and no pair of a
+group is written out unless it is a link.
 
 Defined results: a null text, or one without words, has an empty set, is linked
 with nothing and keeps its own id; a text of fewer words than the width is one
@@ -31,16 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from . import blocks
 from .common import column, stored, text_slices
+from .forest import Forest
 from .order_minhash import mixed
 from .shingles import shingle_set
 
 SKETCH, RUNS = 64, 40
 #: An estimate from a full sketch may be this far below the similarity (five deviations at 0.8).
 SLACK = 0.25
-LEADER_ROUNDS = 8
-#: Up to so many pairs a list entry, what the first leaders leave is compared at once.
-ALL_AT_ONCE = 20
+#: Classes of a block, where all pairs of a group are compared.
+BLOCK = 512
 #: log2 of the bits of the filter for documents whose sets are needed: a fixed half a megabyte.
 FILTER_BITS = 22
 
@@ -135,6 +137,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def joining(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    """Of a block's links those that tie together what the others have not."""
+    kept = Forest().joining(zip(a.tolist(), b.tolist()))
+    return [pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())]
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links), kept (it is the least) for each row."""
     if percent < 80:
@@ -145,40 +153,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     reps = stored(found.join(classes, ["id", "c1", "c2", "n"], "left_semi").dropDuplicates(["id", "c1", "c2"]).select("id", "n", "sketch"), "classes")
     lists = stored(inverted_lists(reps), "lists")
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return _sets_of(docs, ids, width, id_col, text_col).join(ids, "id", "left_semi").dropDuplicates(["id", "set"])
+
+    def rest_links(rest: DataFrame) -> DataFrame:
+        """Links between components of a group: by sketches first, then on the full sets of what they leave."""
+        sketched = rest.join(reps.select("id", "n", F.col("sketch").alias("set")), "id")
+        each = lambda c: [np.asarray(x.values).view(np.uint64) for x in c]
+        chance = lambda shared, n, m: (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (shared >= (percent / 100 - SLACK) * np.minimum(SKETCH, np.minimum(n, m)))
+        both = lambda a, b: [pa.array(np.unique(np.concatenate([a, b])))]
+        left = blocks.compared(blocks.dealt(sketched, "leader", BLOCK), "leader", each, chance, both, "id long", ["id"]).distinct()
+        left = stored(left, "rest-ids")
+        exact = rest.join(left, "id", "left_semi").join(sets_of(left), "id").withColumn("n", (F.length("set") / 8).cast("long"))
+        whole = lambda c: [np.frombuffer(x.as_buffer(), np.uint64) for x in c]
+        sure = lambda shared, n, m: 100 * shared >= percent * (n + m - shared)
+        return blocks.compared(blocks.dealt(exact, "leader", BLOCK), "leader", whole, sure, joining, "a long, b long", ["a", "b"])
+
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         """Links among the candidate pairs; texts are read again only where an estimate asks for it."""
         chances = stored(likely(pairs, reps, percent), name)
-        ids = chances.select(F.col("a").alias("id")).union(chances.select(F.col("b").alias("id"))).distinct()
-        sets = stored(_sets_of(docs, ids, width, id_col, text_col).join(ids, "id", "left_semi").dropDuplicates(["id", "set"]), name + "-sets")
-        return stored(verified(chances, sets, percent), name + "-links")
+        ids = chances.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return stored(verified(chances, stored(sets_of(ids), name + "-sets"), percent), name + "-links")
 
     links = checked(lists.filter("least < id").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "star")
     parts = stored(connected_components(links, "a", "b"), "components")
-    n_lists = lists.count()
-    for turn in range(LEADER_ROUNDS + 1):
-        # lists whose classes lie in more than one component; the largest one need not be compared with itself
-        placed = lists.join(parts, "id", "left").select("value", "id", F.coalesce("component", "id").alias("component"))
-        sizes = placed.groupBy("value", "component").agg(F.count("*").alias("m"))
-        tops = sizes.groupBy("value").agg(F.sum("m").alias("total"), F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-        rest = stored(placed.join(tops.select("value", "total", F.col("top.component").alias("largest")), "value"), "rest")
-        left = rest.filter("component <> largest").agg(F.sum("total")).first()[0] or 0
-        if not left:
-            break
-        last = turn == LEADER_ROUNDS or left <= ALL_AT_ONCE * n_lists
-        outside = rest.filter("component <> largest").select("value", F.col("id").alias("x"), F.col("component").alias("cx"), "largest")
-        if not last:
-            outside = outside.groupBy("value").agg(F.min_by(F.struct("x", "cx", "largest"), F.xxhash64("x", F.lit(turn))).alias("s")).select("value", "s.*")
-        others = rest.select("value", F.col("id").alias("y"), F.col("component").alias("cy"))
-        pairs = outside.join(others, "value").filter("cx <> cy and (x < y or cy = largest)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = checked(pairs, "rest")
-        if more.isEmpty():
-            if last:
-                break
-            continue
-        links = stored(links.unionByName(more), "links")
-        parts = stored(connected_components(links, "a", "b"), "components")
-        if last:
-            break
+    # a list's classes all lie in the group of its least; groups that are one component need no more
+    placed = lists.select(F.col("least").alias("leader"), "id").distinct().join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = placed.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("leader")
+    rest = stored(placed.join(open_, "leader"), "rest")
+    if not rest.isEmpty():
+        links = stored(links.unionByName(rest_links(rest)), "links")
+        parts = connected_components(links, "a", "b")
     whole = classes.join(parts, "id", "left").select("c1", "c2", "n", F.coalesce("component", "id").alias("component"))
     out = every.select("doc_id", "n", "c1", "c2").join(whole, ["c1", "c2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -76,10 +76,8 @@ def test_components(spark, seed, width):
     assert found(near_duplicates.near_duplicates(frame, width)) == brute(rows, width)
 
 
-def test_rounds_with_other_leaders(spark, monkeypatch):
-    """Leaders come first where very many pairs are left, and the rest after them."""
-    monkeypatch.setattr(near_duplicates, "ALL_AT_ONCE", 0)
-    monkeypatch.setattr(near_duplicates, "LEADER_ROUNDS", 2)
+def test_groups_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 5)
     rows = corpus(4)[:150]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(near_duplicates.near_duplicates(frame, 2)) == brute(rows, 2)
