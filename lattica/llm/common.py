@@ -44,10 +44,17 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
 
 
 _SHIPPED: set[str] = set()
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the executors, once for each application."""
+    """Sends this package's modules to the executors, once for each application.
+
+    Texts are long rows: where the session leaves Arrow's batches at the default
+    number of rows, it is set lower, so that a batch stays small.
+    """
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "2000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

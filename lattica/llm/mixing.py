@@ -24,51 +24,22 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, stored
 
-BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Fixed value: what a word is.
+WORD = r"[^\x20\x09-\x0D]+"
 LEVELS, BITS = 3, 8
 
 
-def word_counts(texts: pa.Array) -> np.ndarray:
-    """Words of each text, counted over the bytes of all of them at once."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    _, offsets, data = texts.buffers()
-    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    if not len(texts) or ends[0] == ends[-1]:
-        return np.zeros(len(texts), np.int64)
-    inside = ~BLANKS[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    starts = (ends - ends[0])[:-1]
-    real = starts < len(inside)
-    begins[starts[real]] = inside[starts[real]]
-    total = np.concatenate([[0], np.cumsum(begins)])
-    return total[ends[1:] - ends[0]] - total[starts]
-
-
 def sized(docs: DataFrame, sources: Column, seed: int, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Every row's id, sources (sorted), size and seeded hash; with ``keep`` all columns of the row beside."""
-    fields = "doc_id long, sources array<string>, size long"
-    text = column(docs, text_col).cast("string").alias("__mix_text")
-    own = F.struct(*[column(docs, c) for c in docs.columns]).alias("row") if keep else F.lit(0).alias("row")
-    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.array_sort(F.array_distinct(sources)).alias("sources"), text, own)
-
-    def run(batches):
-        for batch in batches:
-            columns = [batch.column(0), batch.column(1), pa.array(word_counts(batch.column(2)), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(3)] if keep else columns, ["doc_id", "sources", "size"] + ["row"] * keep)
-
-    if keep:
-        schema = rows.select("doc_id", "sources", F.lit(0).cast("long").alias("size"), "row").schema
-        out = rows.mapInArrow(run, schema)
-    else:
-        out = rows.mapInArrow(run, fields)
-    return out.withColumn("place", F.xxhash64("doc_id", F.lit(seed)))
+    size = F.coalesce(F.regexp_count(column(docs, text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    own = [F.struct(*[column(docs, c) for c in docs.columns]).alias("row")] * keep
+    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.array_sort(F.array_distinct(sources)).alias("sources"), size.alias("size"), *own)
+    return rows.withColumn("place", F.xxhash64("doc_id", F.lit(seed)))
 
 
 def shares(sizes: dict, weights: dict, repeats: int = 3) -> dict:
