@@ -40,12 +40,15 @@ class ChunkEncoder:
     ``plain``: the vocabulary's special strings are ordinary text where a text has them.
     """
 
-    def __init__(self, path: str, plain: bool = False, limit: int = 900_000):
+    def __init__(self, path: str, plain: bool = False, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.n_bytes[list(vocabulary.values())] = list(map(len, vocabulary))  # a character of its pieces is a byte
         self.limit = limit
         self.clear()
 
@@ -72,9 +75,12 @@ class ChunkEncoder:
         """Encodes chunks that the table lacks, each apart from the others."""
         for at in range(0, len(keys), 20_000):
             part = keys[at : at + 20_000]
-            done = self.tokenizer.encode([chunk_of(k) for k in part], is_pretokenized=True, add_special_tokens=False)
-            words = np.array(done.word_ids, np.int64)
-            self._add(part, np.array(done.ids, np.uint32), np.bincount(words, minlength=len(part)))
+            chunks = [chunk_of(k) for k in part]
+            done = self.tokenizer.encode_batch_fast([chunks], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.array(done.ids, np.uint32)
+            # an id stands for so many bytes of the text, so the chunks' bytes tell where each one's ids end
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in chunks]), "right")
+            self._add(part, ids, np.diff(ends, prepend=0))
 
     def _learn_missing(self, missing: Iterable[str]) -> None:
         """A letter before a last full stop or comma ends a pre-token: such chunks are put together from two."""

@@ -14,7 +14,7 @@ import numpy as np
 LOW = np.uint64(1 << 31)
 U32 = np.uint64(32)
 #: Symbols of a full block, and of a lane of it.
-BLOCK, STEPS = 1 << 19, 256
+BLOCK, STEPS = 1 << 21, 256
 
 
 def table_bits(n_symbols: int) -> int:
