@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,13 +87,17 @@ def refine(vertices: DataFrame, edges: DataFrame, pattern: Pattern, max_rounds:
     """Candidates u, v left when each keeps a candidate at the other end of every pattern edge (a fixpoint)."""
     now = stored(by_label(vertices, pattern), "candidates")
     size = now.count()
+    needs = Counter(w for a, b, _ in pattern.edges for w in (a, b))
+    wanted = F.broadcast(vertices.sparkSession.createDataFrame([(u, needs[u]) for u in range(len(pattern.labels))], "u long, need long"))
     for _ in range(max_rounds):
+        met = None
         for k, (a, b, _) in enumerate(pattern.edges):
             live = edge_candidates(edges, pattern, k, now)
             for w, end in ((a, "src"), (b, "dst")):
-                mine = now.filter(F.col("u") == w).join(live.select(F.col(end).alias("v")), "v", "left_semi").select("u", "v")
-                now = now.filter(F.col("u") != w).union(mine)
-        now = stored(now, "candidates")
+                part = live.select(F.lit(w).cast("long").alias("u"), F.col(end).alias("v")).distinct()
+                met = part if met is None else met.union(part)
+        held = met.groupBy("u", "v").agg(F.count("*").alias("n"))
+        now = stored(now.join(wanted, "u").join(held, ["u", "v"], "left").filter(F.coalesce("n", F.lit(0)) == F.col("need")).select("u", "v"), "candidates")
         if (left := now.count()) == size:
             break
         size = left
