@@ -82,7 +82,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = 50256
     order = token_files.write_flat(_table(spark, sf_dir, "documents"), token_files.scratch(spark, "flat"), public_tokenizers.path(BYTE_BPE), end_id=end)
     counted = token_files.scan_flat(order.select("file"), end_id=end)
-    return order.join(counted, ["file", "seq"]).select("doc_id", "n_tokens", "closed")
+    # the order table packs so well on disk that Spark would take it for small and broadcast it
+    return order.join(counted.hint("merge"), ["file", "seq"]).select("doc_id", "n_tokens", "closed")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
