@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def endpoints(edges: DataFrame) -> DataFrame:
     """Distinct vertex ids. Exploding both ends reads the edges once, not twice."""
@@ -43,17 +45,15 @@ def induced_view(edges: DataFrame, strategy: str) -> DataFrame:
 def running(df: DataFrame, keys: list[str], name: str, value: str | None = None) -> DataFrame:
     """Adds the number of rows before each one (or the sum of ``value`` over them) by ascending ``keys``.
 
-    The rows are cut into ranges at quantile bounds of the first key, so no task
-    sorts all of them: inside a range a window counts, and the sums of the ranges
-    before it are added. Only one row a range is ordered in one place.
+    The rows are dealt to as many ranges of the keys as there are shuffle
+    partitions, and written so with their range; inside a range a window counts,
+    and the sums of the ranges before it are added. Only one row a range is
+    ordered in one place, and ties in the first key do not pile up in a range.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(df.select(F.percentile_approx(keys[0], [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []))
-    range_ = F.lit(0)
-    for b in bounds:
-        range_ = range_ + (F.col(keys[0]) > b).cast("int")
     amount = F.lit(1).cast("long") if value is None else F.col(value).cast("long")
-    placed = df.withColumn("__range", range_).withColumn("__n", amount)
+    dealt = df.withColumn("__n", amount).repartitionByRange(parts, *keys).withColumn("__range", F.spark_partition_id())
+    placed = stored(dealt, "ranges")
     sums = placed.groupBy("__range").agg(F.sum("__n").alias("__s"))
     before = sums.withColumn("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
     inside = Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
