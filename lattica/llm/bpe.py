@@ -13,14 +13,15 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable
 from itertools import count, repeat
+from operator import itemgetter
 
 import numpy as np
 
 #: Chunks are cut at these four; a text with any other white space goes whole.
 CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: A text with none of these, and no blank at either end, is cut by splitting at blanks alone.
-UNEVEN = ("\t", "\r", "  ", " \n", "\n ", "\n\n")
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Chunks that are looked up before all others.
+COMMON = 20_000
 
 
 def key_of(chunk: str) -> str:
@@ -45,7 +46,8 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.n_bytes[list(vocabulary.values())] = list(map(len, vocabulary))  # a character of its pieces is a byte
@@ -54,6 +56,7 @@ class ChunkEncoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.common: dict[str, int] = {}  # those met often first: a table small enough for the processor's cache
         self.offset = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
@@ -113,30 +116,37 @@ class ChunkEncoder:
         chunks: list[str] = []
         n_chunks, whole = np.zeros(len(texts), np.int64), {}
         for i, text in enumerate(texts):
-            if OTHER_SPACE.search(text) or any(s in text for s in self.special):
+            if OTHER_SPACE.search(text) or self.has_special(text):
                 whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
-                if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNEVEN):
+                # one blank between words, and line ends alone: cut by splitting at blanks
+                if not text or text[0] in " \n" or text[-1] in " \n" or "\t" in text or "\r" in text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
                     found = list(map(key_of, CHUNK.findall(text)))
                 else:
                     found = text.replace("\n", " \n").split(" ")
                     found[0] = "\r" + found[0]
                 n_chunks[i] = len(found)
                 chunks += found
+        places = np.fromiter(map(self.common.get, chunks, repeat(-1)), np.int64, len(chunks))
+        rare = np.flatnonzero(places < 0)
+        others = list(itemgetter(*rare.tolist(), 0)(chunks)[:-1]) if len(rare) else []
         place: defaultdict[str, int] = defaultdict(count().__next__)
-        places = np.fromiter(map(place.__getitem__, chunks), np.int64, len(chunks))
+        within = np.fromiter(map(place.__getitem__, others), np.int64, len(others))
         entry = np.fromiter(map(self.known.get, place, repeat(-1)), np.int64, len(place))
         before, used = len(self.known), self.used
         if len(absent := np.flatnonzero(entry < 0)):
-            if before > self.limit and len(absent) > len(entry) * 2 // 3:  # another kind of text has begun
-                self.clear()
-                absent, before, used = np.arange(len(entry)), 0, 0
             keys = list(place)
             missing = [keys[i] for i in absent]
+            if before > self.limit and len(absent) > len(chunks) // 5:  # another kind of text has begun
+                self.clear()
+                return self.encode(texts)
             self._learn_missing(missing)
             entry[absent] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
-        index = entry[places]
-        ids, ends = self.gather(index), np.concatenate([[0], np.cumsum(self.length[index])])
+        places[rare] = entry[within]
+        ids, ends = self.gather(places), np.concatenate([[0], np.cumsum(self.length[places])])
+        if len(self.common) < COMMON and before <= self.limit:
+            often = np.bincount(within, minlength=len(place)) > 2
+            self.common.update((k, e) for k, e, keep in zip(place, entry.tolist(), often.tolist()) if keep)
         if len(self.known) > before > self.limit:  # the table is full: what this call added goes again
             for _ in range(len(self.known) - before):
                 self.known.popitem()
