@@ -156,3 +156,31 @@ def test_no_vectors(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_duplicates.near_duplicate_vectors(frame).count() == 0
     assert embedding_duplicates.near_duplicate_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().n_links == 0
+
+
+def cone(rng, n, planted, dim=64):
+    """``n`` unit vectors of mutual cosine 0.9, and ``planted`` more, the i-th of cosine 0.952 with the i-th of them."""
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axis = unit(rng.standard_normal(dim))
+    around = rng.standard_normal((n, dim))
+    members = np.sqrt(0.9) * axis + np.sqrt(0.1) * unit(around - around @ axis[:, None] * axis)
+    side = rng.standard_normal((planted, dim))
+    side = unit(side - (side * members[:planted]).sum(1, keepdims=True) * members[:planted])
+    return np.vstack([members, 0.952 * members[:planted] + np.sqrt(1 - 0.952**2) * side])
+
+
+@pytest.mark.parametrize("all_pairs", [0, 1 << 14])
+def test_links_in_a_dense_cone(spark, monkeypatch, all_pairs):
+    monkeypatch.setattr(embedding_duplicates, "ALL_PAIRS", all_pairs, raising=False)
+    monkeypatch.setattr(embedding_duplicates, "RUN_BLOCK", 500, raising=False)
+    rng = np.random.default_rng(1)
+    rows = np.vstack([cone(rng, 2000, 300), rng.standard_normal((3700, 64))])
+    frame = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<double>")
+    component = {r.vec_id: r.component_id for r in embedding_duplicates.near_duplicate_vectors(frame, window=16).collect()}
+    met = sum(component[i] == component[2000 + i] for i in range(300))
+    assert met == 300 if all_pairs else met >= 297
+
+
+def test_passes_follow_the_number_of_vectors():
+    assert [embedding_duplicates.effort(n, 0.95) for n in (100, 50_000, 600_000, 77_000_000)] == [(0, 16), (10, 17), (14, 28), (21, 62)]
+    assert embedding_duplicates.effort(50_000, 1.0) == (10, 16) and embedding_duplicates.effort(600_000, 0.95, 3)[1] == 3
