@@ -31,21 +31,24 @@ PIECE, TEMPERATURE = 4096, 16.0
 def dictionaries(docs: DataFrame, dictionary_bytes: int = 48 << 10, sample_docs: int = 200, lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language from a bounded sample of ``docs``, the rows to learn from.
 
-    Of each language about ``sample_docs`` texts (those whose seeded hash of the
-    text falls lowest, so copies count once) reach the driver, cut to what the
-    dictionary holds: ``dictionary_bytes`` of text in all.
+    Of each language about four times ``sample_docs`` different texts (those whose
+    seeded hash falls lowest; all, where there are fewer) reach the driver as
+    excerpts from a hashed place on, and fill ``dictionary_bytes`` in the order of
+    the hash. Copies count once, in the rate of the sample too.
     """
     rows = docs.select(column(docs, lang_col).cast("string").alias("lang"), column(docs, "text").cast("string").alias("text")).filter("lang is not null and length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    hashed = rows.withColumn("h", F.xxhash64("text", F.lit(17)))
+    texts = hashed.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect()
+    if not texts:
         return {}
+    counts = {r["lang"]: r["n"] for r in texts}
     each = max(256, dictionary_bytes * 2 // sample_docs)
-    hashed = rows.withColumn("h", F.xxhash64("text", F.lit(17)))
     low = F.lit(None).cast("double")
-    for lang, n in counts.items():
-        low = F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * sample_docs / n))).otherwise(low)
+    for r in texts:
+        low = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4 * sample_docs / r["different"]))).otherwise(low)
     share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
-    found = hashed.filter(share < low).groupBy("lang", "h").agg(F.min(F.substring("text", 1, each)).alias("text")).collect()
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - each, F.lit(0)) + 1).cast("int") + 1
+    found = hashed.filter(share <= low).groupBy("lang", "h").agg(F.min(F.substring("text", start, F.lit(each))).alias("text")).collect()
     out = {}
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         texts = [r["text"] for r in sorted((r for r in found if r["lang"] == lang), key=lambda r: r["h"])]

@@ -142,6 +142,15 @@ def test_language_edges(spark):
     assert language.dictionaries(training.limit(0)) == {}
 
 
+def test_language_samples_different_texts(spark):
+    copies = [(f"only text number {i} of its language", f"l{i}") for i in range(5) for _ in range(1000)]
+    contents = language.dictionaries(spark.createDataFrame(copies, "text string, lang string"), sample_docs=2)
+    assert contents == {f"l{i}": f"only text number {i} of its language".encode() for i in range(5)}
+    header = "the licence text in front " * 40
+    bodies = spark.createDataFrame([(header + f"own{i} " * 400, "en") for i in range(60)], "text string, lang string")
+    assert sum(f"own{i} ".encode() in language.dictionaries(bodies)["en"] for i in range(60)) > 30
+
+
 # -- order min-hash -----------------------------------------------------------
 
 
