@@ -83,13 +83,18 @@ def incomplete_roots(forest: DataFrame, plan_edges: int) -> DataFrame:
     return forest.groupBy("root").agg(F.count_distinct("plan_edge").alias("n")).filter(F.col("n") < plan_edges).select("root")
 
 
-def refine(vertices: DataFrame, edges: DataFrame, pattern: Pattern, max_rounds: int = 20) -> DataFrame:
-    """Candidates u, v left when each keeps a candidate at the other end of every pattern edge (a fixpoint)."""
+def refine(vertices: DataFrame, edges: DataFrame, pattern: Pattern, max_rounds: int | None = None) -> DataFrame:
+    """Candidates u, v left when each keeps a candidate at the other end of every pattern edge.
+
+    Goes on to the fixpoint, at most one round a candidate; where ``max_rounds`` is given and reached before, it raises.
+    """
     now = stored(by_label(vertices, pattern), "candidates")
     size = now.count()
     needs = Counter(w for a, b, _ in pattern.edges for w in (a, b))
     wanted = F.broadcast(vertices.sparkSession.createDataFrame([(u, needs[u]) for u in range(len(pattern.labels))], "u long, need long"))
-    for _ in range(max_rounds):
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         met = None
         for k, (a, b, _) in enumerate(pattern.edges):
             live = edge_candidates(edges, pattern, k, now)
@@ -99,9 +104,9 @@ def refine(vertices: DataFrame, edges: DataFrame, pattern: Pattern, max_rounds:
         held = met.groupBy("u", "v").agg(F.count("*").alias("n"))
         now = stored(now.join(wanted, "u").join(held, ["u", "v"], "left").filter(F.coalesce("n", F.lit(0)) == F.col("need")).select("u", "v"), "candidates")
         if (left := now.count()) == size:
-            break
+            return now
         size = left
-    return now
+    raise RuntimeError("refinement did not settle")
 
 
 def association_groups(matches: DataFrame) -> DataFrame:

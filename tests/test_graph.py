@@ -185,6 +185,14 @@ def test_matching(spark, pattern):
     assert all((u, v) in fixed for bind in homo for u, v in enumerate(bind))
 
 
+def test_refinement_goes_on_to_the_fixpoint(spark):
+    vertices, rows = labelled(spark, [(i, i + 1) for i in range(43)], dict.fromkeys(range(44), 0))
+    circle = Pattern((None, None), ((0, 1, None), (1, 0, None)))
+    assert matching.refine(vertices, rows, circle).count() == 0
+    with pytest.raises(RuntimeError):
+        matching.refine(vertices, rows, circle, max_rounds=2)
+
+
 def test_groups_by_pivot(spark):
     rows = spark.createDataFrame([(126, 183), (126, 115407), (138, 192)], "u0 long, u1 long")
     found = matching.association_rows(matching.association_groups(rows))
