@@ -5,7 +5,9 @@ all but the last return the columns of ``documents``.
 
 1. quality: documents whose score is under 0.3 go.
 2. near_duplicates: of each group of five-word-shingle similarity 0.8 or more, the
-   document with the least id stays (among rows that share it, one).
+   document with the least id stays. Rows count by their texts: rows of one id with
+   different texts all stay, copies among rows with a null id go (they come after
+   all ids). Of rows without words one an id stays; with a null id, all.
 3. secrets: spans are replaced by ``[kind]``; no document goes.
 4. mixing: sources weigh 1, 2, 3 by code point; a document comes back as often as
    the mix takes it, at most three times, and not at all if it takes none.
@@ -43,12 +45,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document that stands for its group; rows with a null id all stay."""
+    """Keeps of each group the row with the least id; rows are told apart by a key made for them, not by their ids."""
     ship(spark)
-    groups = near_duplicates.near_duplicates(docs, width=5, percent=80)
-    gone = stored(groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    return near_duplicates.one_row_an_id(kept)
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # written, so that the keys stay
+    groups = near_duplicates.near_duplicates(rows, width=5, percent=80, id_col="__row").select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("text"), "__row")
+    placed = stored(groups.join(rows.select("__row", "doc_id", order.alias("order")), "__row"), "placed")
+    worded = F.col("n_shingles") > 0
+    group = [F.when(worded, F.col("component_id")).when(F.col("doc_id").isNull(), F.col("__row")).alias("a"), F.when(~worded, F.col("doc_id")).alias("b")]
+    kept = placed.groupBy(*group, worded.alias("c")).agg(F.min("order").alias("least")).select("least.__row")
+    gone = stored(placed.select("__row").join(kept, "__row", "left_anti"), "gone")
+    return rows.join(gone, "__row", "left_anti").select(*[rows[c] for c in docs.columns])
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,14 @@ def test_odd_rows(spark, odd):
         before = stored(stage(spark, before, SMALL), "stage")
     assert corpus_pipeline.near_duplicate_stage(spark, odd, SMALL).filter(F.col("doc_id").isNull()).count() == 1
     assert sentence_pieces.encode_documents(odd, PIECES).count() == odd.count()
+
+
+def test_rows_of_one_id_or_none(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other, third = text.replace("w", "v"), text.replace("w", "u")
+    rows = [(1, text), (7, text + " more"), (7, other), (8, third), (8, third), (8, other + " more"), (None, third), (None, "null " * 9), (None, "null " * 9), (None, ""), (None, ""), (9, ""), (9, ""), (10, "")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    out = corpus_pipeline.near_duplicate_stage(spark, frame, SMALL)
+    assert out.columns == frame.columns
+    expected = [(1, text), (7, other), (8, third), (None, "null " * 9), (None, ""), (None, ""), (9, ""), (10, "")]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in out.collect()])) == sorted(map(str, expected))
