@@ -39,8 +39,8 @@ from .order_minhash import mixed
 from .shingles import shingle_set
 
 SKETCH, RUNS = 64, 40
-#: An estimate from a full sketch may be this far below the similarity (five deviations at 0.8).
-SLACK = 0.25
+#: An estimate from a full sketch may be this far below the similarity (six deviations at 0.8).
+SLACK = 0.30
 #: Classes of a block, where all pairs of a group are compared.
 BLOCK = 512
 #: log2 of the bits of the filter for documents whose sets are needed: a fixed half a megabyte.

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -98,6 +99,18 @@ def test_every_order_of_small_sets_shares_a_run():
                 assert runs >= 3 or union == 5 and runs >= 2
 
 
+def test_sketches_pass_what_may_reach_the_threshold(spark):
+    common, a, b = list(range(0, 66, 2)), list(range(1, 33, 2)), list(range(33, 63, 2))
+    pad = list(range(100, 200))
+    rows = [(1, 100, sorted(common + a + pad)[:64]), (2, 100, sorted(common + b + pad)[:64])]
+    union = sorted(set(rows[0][2]) | set(rows[1][2]))[:64]
+    assert len(set(union) & set(rows[0][2]) & set(rows[1][2])) == 33
+    reps = spark.createDataFrame(rows, "id long, n long, sketch array<long>")
+    assert near_duplicates.likely(spark.createDataFrame([(1, 2)], "a long, b long"), reps, 80).count() == 1
+    need = math.ceil((0.8 - near_duplicates.SLACK) * near_duplicates.SKETCH - 1e-9)
+    assert sum(math.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(need)) < 1e-7
+
+
 def test_edges_of_near_duplicates(spark):
     rows = [(None, "a b c"), (5, "a b c"), (5, "a b c"), (6, None), (7, ""), (8, "word " * 50_000), (9, "word " * 50_000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
