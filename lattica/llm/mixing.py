@@ -13,8 +13,10 @@ is a source of its own; null in a pattern likewise; a row with no source at all
 is never taken. Documents of size 0 are taken 0 times. Rows that repeat count
 each for itself; the seed and the id decide the order, so reruns agree.
 
-Only sums by pattern reach the driver (``max_patterns`` at most, else it
-raises); documents never do. Where a pattern's cut lies is found by three rounds
+Only sums by pattern reach the driver; documents never do. Patterns of several
+sources are solved there together (``max_patterns`` at most, else it raises); a
+source that stands alone in its pattern gives what its quota asks for, so of
+such sources there may be any number, one row of the driver each. Where a pattern's cut lies is found by three rounds
 of sums over 256 ranges of the seeded hash, so a pattern may hold any share of
 the rows.
 """
@@ -32,6 +34,8 @@ from .common import column, stored
 #: Fixed value: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS, BITS = 3, 8
+#: Patterns of several sources at most, and patterns that are broadcast.
+MAX_PATTERNS = 10_000
 
 
 def sized(docs: DataFrame, sources: Column, seed: int, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -105,11 +109,24 @@ def least_cost_flow(patterns: dict[tuple, int], quotas: dict, repeats: int = 3)
             arcs[k ^ 1][1] += amount
 
 
-def pattern_sizes(rows: DataFrame, max_patterns: int = 10_000) -> dict[tuple, int]:
-    found = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"over {max_patterns} membership patterns")
-    return {tuple(r["sources"] or ()): r["size"] for r in found}
+def given_words(patterns: dict[tuple, int], quotas: dict, repeats: int = 3) -> dict[tuple, int]:
+    """``least_cost_flow``, but sources that are in no pattern with others are settled without it."""
+    shared = {s for p in patterns if len(p) > 1 for s in p}
+    bound = {p: n for p, n in patterns.items() if len(p) > 1 or p and p[0] in shared}
+    alone = {p: min(quotas[p[0]], repeats * n) if p else 0 for p, n in patterns.items() if p not in bound}
+    return alone | (least_cost_flow(bound, {s: q for s, q in quotas.items() if s in shared}, repeats) if bound else {})
+
+
+def pattern_sizes(rows: DataFrame, max_patterns: int = MAX_PATTERNS) -> dict[tuple, int]:
+    sizes = stored(rows.groupBy("sources").agg(F.sum("size").alias("size")), "patterns")
+    if sizes.filter(F.size("sources") > 1).count() > max_patterns:
+        raise ValueError(f"over {max_patterns} membership patterns of several sources")
+    return {tuple(r["sources"] or ()): r["size"] for r in sizes.collect()}
+
+
+def small(patterns: DataFrame, n: int) -> DataFrame:
+    """A table of ``n`` patterns: broadcast up to ``MAX_PATTERNS``, else joined as any other."""
+    return F.broadcast(patterns) if n <= MAX_PATTERNS else patterns
 
 
 def take(rows: DataFrame, words: dict[tuple, int], patterns: dict[tuple, int]) -> DataFrame:
@@ -117,12 +134,12 @@ def take(rows: DataFrame, words: dict[tuple, int], patterns: dict[tuple, int]) -
     spark = rows.sparkSession
     plan = [(list(p), *(divmod(words[p], patterns[p]) if patterns[p] else (0, 0))) for p in patterns]
     plan = spark.createDataFrame(plan, "p array<string>, whole long, rest long")
-    rows = rows.join(F.broadcast(plan), rows["sources"] == plan["p"]).drop("p")
+    rows = rows.join(small(plan, len(patterns)), rows["sources"] == plan["p"]).drop("p")
     rows = rows.withColumns({f"d{i}": F.shiftrightunsigned("place", 64 - BITS * (i + 1)).bitwiseAND((1 << BITS) - 1) for i in range(LEVELS)})
     # the range in which each pattern's cut lies, level by level: one row a pattern
     cut = plan.select(F.col("p").alias("sources"), F.col("rest").alias("left"))
     for i in range(LEVELS):
-        inside = rows.join(F.broadcast(cut), ["sources", *[f"d{j}" for j in range(i)]]) if i else rows.withColumn("left", F.col("rest"))
+        inside = rows.join(small(cut, len(patterns)), ["sources", *[f"d{j}" for j in range(i)]]) if i else rows.withColumn("left", F.col("rest"))
         sums = inside.groupBy("sources", "left", *[f"d{j}" for j in range(i + 1)]).agg(F.sum("size").alias("n"))
         run = Window.partitionBy("sources").orderBy(f"d{i}")
         sums = sums.withColumn("before", F.sum("n").over(run) - F.col("n")).filter("before <= left and left < before + n")
@@ -130,7 +147,7 @@ def take(rows: DataFrame, words: dict[tuple, int], patterns: dict[tuple, int]) -
         cut = spark.createDataFrame(found.collect(), found.schema)
     digits = [f"d{j}" for j in range(LEVELS)]
     marks = cut.select(F.col("sources").alias("p"), *[F.col(d).alias(f"c{d}") for d in digits], F.col("left").alias("left"))
-    marked = rows.join(F.broadcast(marks), rows["sources"] == marks["p"], "left").drop("p")
+    marked = rows.join(small(marks, len(patterns)), rows["sources"] == marks["p"], "left").drop("p")
     position, limit = F.struct(*digits), F.struct(*[F.col(f"c{d}").alias(d) for d in digits])
     clear = marked.filter(F.col("left").isNull() | (position != limit)).withColumn("times", F.col("whole") + F.coalesce((position < limit).cast("int"), F.lit(0)))
     order = Window.partitionBy("sources").orderBy("place", "doc_id", "size")
@@ -142,11 +159,11 @@ def take(rows: DataFrame, words: dict[tuple, int], patterns: dict[tuple, int]) -
     gaps = picked.groupBy("sources").agg((F.max("rest") - F.sum(F.col("size") * (F.col("times") - F.col("whole")))).alias("gap")).filter("gap > 0")
     gaps = spark.createDataFrame(gaps.collect(), gaps.schema)
     off = F.abs(F.col("size") - F.col("gap"))
-    past = picked.filter("times = whole").join(F.broadcast(gaps), "sources").filter(off < F.col("gap"))
+    past = picked.filter("times = whole").join(small(gaps, len(patterns)), "sources").filter(off < F.col("gap"))
     filling = past.groupBy(F.col("sources").alias("p")).agg(F.min_by(F.struct("place", "doc_id", "size"), F.struct(off, "place", "doc_id")).alias("fill"))
     filling = spark.createDataFrame(filling.collect(), filling.schema)
     chosen = picked["sources"].eqNullSafe(filling["p"]) & F.struct("place", "doc_id", "size").eqNullSafe(F.col("fill")) & (F.col("times") == F.col("whole"))
-    out = picked.join(F.broadcast(filling), picked["sources"] == filling["p"], "left").withColumn("times", F.col("times") + F.coalesce(chosen, F.lit(False)).cast("int"))
+    out = picked.join(small(filling, len(patterns)), picked["sources"] == filling["p"], "left").withColumn("times", F.col("times") + F.coalesce(chosen, F.lit(False)).cast("int"))
     return out.drop("p", "fill", "whole", "rest")
 
 
@@ -170,5 +187,5 @@ def mix(docs: DataFrame, sources: Column, weights=numbered_weights, seed: int =
         for s in p:
             sizes[s] = sizes.get(s, 0) + words
     targets = shares(sizes, weights(sizes), repeats)
-    words = least_cost_flow(patterns, {s: round(t) for s, t in targets.items()}, repeats)
+    words = given_words(patterns, {s: round(t) for s, t in targets.items()}, repeats)
     return take(rows, words, patterns), sizes, targets

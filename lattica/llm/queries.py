@@ -59,7 +59,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rows, sizes, targets = mixing.mix(docs, F.array(docs["source"]))
     facts = spark.createDataFrame([([s], sizes[s], targets[s]) for s in sizes], "p array<string>, source_size long, target double")
-    return rows.join(F.broadcast(facts), F.col("sources") == F.col("p")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    return rows.join(mixing.small(facts, len(sizes)), F.col("sources") == F.col("p")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,6 +247,22 @@ def test_flow_is_the_cheapest(patterns, quotas):
     assert (sum(given.values()), cost) == brute_cost(patterns, quotas, 3)
 
 
+def test_sources_alone_need_no_flow():
+    patterns = {("a",): 5, ("b",): 4, ("c",): 7, ("b", "d"): 6, (None,): 3, (): 2}
+    quotas = {"a": 9, "b": 8, "c": 30, "d": 5, None: 2}
+    assert mixing.given_words(patterns, quotas, 3) == mixing.least_cost_flow(patterns, quotas, 3)
+
+
+def test_mix_of_many_sources(spark):
+    frame = spark.range(10_050).selectExpr("id doc_id", "repeat('w ', 5) text", "concat('s', id) source")
+    out, sizes, targets = mixing.mix(frame, F.array("source"))
+    got = {r.sources[0]: r.size * r.times for r in out.collect()}
+    assert len(got) == len(sizes) == 10_050
+    assert all(abs(got[s] - target) <= 5 for s, target in targets.items())
+    with pytest.raises(ValueError):
+        mixing.pattern_sizes(spark.createDataFrame([(["a", "b"], 1), (["a"], 1), (["b", "c"], 2)], "sources array<string>, size long"), max_patterns=1)
+
+
 def test_mix(spark):
     rng = random.Random(6)
     rows = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(40))), rng.choice(["a", "b", "c", None])) for i in range(800)] + [(None, None, "a"), (3, "dup dup", "a"), (3, "dup dup", "a")]
