@@ -36,7 +36,8 @@ PATTERNS = {
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"),
-    "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"),
+    # header lines, with the lines that carry them on, may stand before the body
+    "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:\s*[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+(?!-----|[A-Za-z][A-Za-z0-9-]*:)\S[^\n]*\n){0,8})*[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"),
 }
 #: Keywords, in lower case, that every match of a kind begins with.
 KEYWORDS = {

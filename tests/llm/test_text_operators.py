@@ -84,6 +84,14 @@ def test_checksums():
     assert secrets.find(long) == [(1_000_000, 1_000_040, "github")]
 
 
+@pytest.mark.parametrize("kind,head", [("RSA PRIVATE KEY", ""), ("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"), ("PGP PRIVATE KEY BLOCK", "Version: GnuPG v2.0 (a-b)\r\nComment: x,\n  carried on - here\n\n"), ("PGP PRIVATE KEY BLOCK", "\n")])
+def test_private_keys_with_headers(kind, head):
+    key = f"-----BEGIN {kind}-----\n{head}" + "MIIEowIBAAKC+/q1\n" * 9 + f"=aB3d\n-----END {kind}-----"
+    assert secrets.cleaned(f"before {key} after") == "before [pem] after"
+    assert secrets.find(key.replace("MIIE", "M.I,")) == []
+    assert not any(kind == "pem" for _, _, kind in secrets.find(f"-----BEGIN {kind}-----\n" + "  a-b: c, d\n  e - f\n" * 5000))
+
+
 def test_secret_columns(spark):
     rows = docs(spark, ["token = abcdefgh", None, "", "token = abcdefgh"], [1, 2, None, 1])
     found = secrets.scan(rows, digests=True)
