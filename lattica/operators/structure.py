@@ -124,4 +124,4 @@ def set_intersection(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def packed_sets(df: DataFrame, key: str, item: str) -> DataFrame:
     """key, word, bits: each key's set of items as 32-bit words held in longs."""
-    return df.groupBy(key, F.floor(F.col(item) / 32).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({item}, 32) as int))")).alias("bits"))
+    return df.groupBy(key, F.shiftright(item, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({item}, 32) as int))")).alias("bits"))

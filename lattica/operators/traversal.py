@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import bucketed, bucketed_with, released, rows_total, stored
 from .components import connected_components
-from .structure import endpoints
-
-#: Frontiers of fewer rows than this go several hops in one job.
-SMALL, HOPS = 200_000, 12
+from .skew import spread_join
+from .structure import endpoints, packed_sets
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 10) -> tuple[DataFrame, list[float]]:
@@ -20,55 +16,74 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, m
 
     Ranks start at 1/N; a vertex without out-edges keeps what flows into it. Ends
     when no rank changes by more than ``tolerance``, or after ``max_rounds``.
-    Edges carry 1/out-degree and are written once; a round is one join and one
-    sum, with partial sums before the shuffle.
+    Edges, with 1/out-degree, lie in buckets of their source and ranks in buckets
+    of their vertex, so a round shuffles only partial sums of what vertices get.
     """
     if not 0 < damping < 1 or tolerance <= 0 or max_rounds < 1:
         raise ValueError("damping lies between 0 and 1, tolerance and rounds are positive")
-    vertices = stored(endpoints(edges), "vertices")
-    n = vertices.count()
+    vertices, facts = bucketed_with(endpoints(edges), "vertices", ("id",), rows_total())
+    n = facts["n"]
     if not n:
         return vertices.withColumn("rank", F.lit(0.0)), []
     out = edges.groupBy("src").agg(F.count("*").alias("n"))
-    weighted = stored(edges.join(out, "src").select("src", "dst", (1 / F.col("n")).alias("w")), "weighted")
-    ranks, changes = vertices.withColumn("rank", F.lit(1.0 / n)), []
+    weighted = bucketed(edges.join(out, "src").select("src", "dst", (1 / F.col("n")).alias("w")), "weighted", "src")
+    now, changes = vertices.withColumn("rank", F.lit(1.0 / n)), []
+    held = vertices
     while len(changes) < max_rounds:
-        given = weighted.join(ranks, weighted["src"] == ranks["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
-        ranks = stored(ranks.join(given, "id", "left").select("id", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("next"), F.col("rank").alias("last")), "ranks")
-        changes.append(ranks.agg(F.max(F.abs(F.col("next") - F.col("last")))).first()[0])
-        ranks = ranks.select("id", F.col("next").alias("rank"))
+        given = weighted.join(now, weighted["src"] == now["id"]).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
+        after = ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("next")
+        step = now.join(given, now["id"] == given["to"], "left").select("id", after, F.col("rank").alias("last"))
+        ranks, facts = bucketed_with(step, "ranks", ("id",), F.max(F.abs(F.col("next") - F.col("last"))).alias("change"))
+        released(held)
+        held, now = ranks, ranks.select("id", F.col("next").alias("rank"))
+        changes.append(facts["change"])
         if changes[-1] <= tolerance:
             break
-    return ranks, changes
+    released(weighted)
+    return now, changes
 
 
-def _hops(frontier: DataFrame, edges: DataFrame, value: str, step: int, hops: int) -> DataFrame:
-    """id, value of what ``frontier`` reaches within ``hops``, least value first; one plan."""
-    out, now = [], frontier
-    for _ in range(hops):
-        now = now.join(edges, now["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg((F.min(value) + step).alias(value))
-        out.append(now)
-    return reduce(DataFrame.unionByName, out).groupBy("id").agg(F.min(value).alias(value))
+def _doubled(jumps: DataFrame) -> tuple[DataFrame, int]:
+    """Jumps of twice the length, of those whose end can jump on; and their number."""
+    on = jumps.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("hops").alias("more"))
+    found = jumps.join(on, "dst").select("src", F.col("to").alias("dst"), (F.col("hops") + F.col("more")).alias("hops"))
+    out, facts = bucketed_with(found.repartition("src"), "jumps", ("src",), rows_total())
+    return out, facts["n"]
 
 
 def _spread(start: DataFrame, edges: DataFrame, value: str, step: int) -> DataFrame:
     """The least value each vertex gets when values flow along edges, ``step`` more an edge.
 
-    Only vertices whose value fell send again. A small frontier goes several hops
-    a job, which costs a few rows and saves most of the jobs of long paths.
+    A round sends the values that fell along all edges, and takes those that are
+    less than what is known. Where a vertex has a single out-edge there is no
+    choice, so such chains are also jumped: each round sends all values along
+    jumps of twice the length of the round before, and a path of L such vertices
+    takes about log2(L) rounds instead of L. A jump is worth its number of edges,
+    so results are those of the edges alone. Known values, edges and jumps lie in
+    buckets; a round shuffles only what was sent.
     """
-    edges = stored(edges.select("src", "dst"), "edges")
-    known = stored(start, "values")
-    frontier, size = known, known.count()
-    while size:
-        found = _hops(frontier, edges, value, step, HOPS if size < SMALL else 1)
-        old = known.withColumnRenamed(value, "old")
-        better = found.join(old, "id", "left").filter(F.col("old").isNull() | (F.col(value) < F.col("old"))).select("id", value)
-        frontier = stored(better, "frontier")
-        size = frontier.count()
-        if size:
-            known = stored(known.unionByName(frontier).groupBy("id").agg(F.min(value).alias(value)), "values")
-    return known
+    links = bucketed(edges.select("src", "dst").filter("src <> dst").distinct().withColumn("hops", F.lit(1).cast("long")), "edges", "src")
+    jumps, facts = bucketed_with(links.groupBy("src").agg(F.min("dst").alias("dst"), F.count("*").alias("n")).filter("n = 1").select("src", "dst", F.lit(1).cast("long").alias("hops")), "jumps", ("src",), rows_total())
+    chained = left = facts["n"]
+    known, facts = bucketed_with(start.select("id", value).repartition("id").withColumn("fell", F.lit(True)), "values", ("id",), rows_total())
+    fell, longest = facts["n"], 1
+    sent = lambda values, ways: values.join(ways, values["id"] == ways["src"]).select(F.col("dst").alias("to"), (F.col(value) + step * F.col("hops")).alias("got"))
+    while fell:
+        got = sent(known.filter("fell"), links)
+        if longest > 1 and left:
+            got = got.unionByName(sent(known, jumps))
+        got = got.groupBy("to").agg(F.min("got").alias("got"))
+        less = F.col(value).isNull() | (F.col("got") < F.col(value))
+        merged = known.join(got, known["id"] == got["to"], "full").select(F.coalesce("id", "to").alias("id"), F.least(value, "got").alias(value), F.coalesce(F.col("got").isNotNull() & less, F.lit(False)).alias("fell"))
+        after, facts = bucketed_with(merged, "values", ("id",), F.count_if("fell").alias("fell"))
+        released(known)
+        known, fell = after, facts["fell"]
+        if fell and left and longest <= chained:  # a cycle could be jumped for ever
+            further, left = _doubled(jumps)
+            released(jumps)
+            jumps, longest = further, longest * 2
+    released(links, jumps)
+    return known.select("id", value)
 
 
 def bfs(edges: DataFrame, source: int) -> DataFrame:
@@ -95,23 +110,57 @@ def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count("*").alias("size"))
 
 
+def _packed_product(left: DataFrame, right: DataFrame) -> DataFrame:
+    """i, word, bits: for each i of left(i, k) the union of the packed sets of its k in right(k, j).
+
+    Neighbours travel as words of 32 ids; a middle vertex in very many pairs is
+    dealt to several tasks, and words are united before the shuffle.
+    """
+    words = packed_sets(right, "k", "j")
+    return spread_join(left, words, "k").groupBy("i", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _unpacked(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """The pairs of packed sets."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda b: F.getbit(F.col("bits"), b) == 1)
+    return rows.select(F.col("i").alias(key), F.explode(bits).alias("__b"), "word").select(key, (F.col("word") * 32 + F.col("__b")).cast("long").alias(item))
+
+
+def _walk_sets(left: DataFrame, right: DataFrame) -> DataFrame:
+    a = left.filter("src <> dst").select(F.col("src").alias("i"), F.col("dst").alias("k"))
+    b = right.filter("src <> dst").select(F.col("src").alias("k"), F.col("dst").alias("j"))
+    own = F.expr("case when word = floor(i / 32) then ~shiftleft(1L, cast(pmod(i, 32) as int)) else -1L end")
+    return _packed_product(a, b).select("i", "word", F.col("bits").bitwiseAND(own).alias("bits"))
+
+
 def walks(left: DataFrame, right: DataFrame) -> DataFrame:
     """src, dst: distinct pairs a -> b -> c with a, b, c all different."""
-    a = left.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    b = right.filter("src <> dst").select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    return a.join(b, "b").filter("a <> c").select(F.col("a").alias("src"), F.col("c").alias("dst")).distinct()
+    return _unpacked(_walk_sets(left, right), "src", "dst")
 
 
-def boolean_product(left: DataFrame, right: DataFrame, right_transposed: bool = False) -> DataFrame:
-    """i, j of the entries of A·B that are not zero; with ``right_transposed`` of A·Bᵀ."""
+def walk_count(left: DataFrame, right: DataFrame, name: str = "n") -> DataFrame:
+    """How many such pairs there are; no pair is made."""
+    return _set_sizes(_walk_sets(left, right), name)
+
+
+def _set_sizes(rows: DataFrame, name: str) -> DataFrame:
+    return rows.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).alias(name))
+
+
+def _product_sets(left: DataFrame, right: DataFrame, right_transposed: bool) -> DataFrame:
     k, j = ("dst", "src") if right_transposed else ("src", "dst")
     a = left.select(F.col("src").alias("i"), F.col("dst").alias("k"))
-    b = right.select(F.col(k).alias("k"), F.col(j).alias("j"))
-    return a.join(b, "k").select("i", "j").distinct()
+    return _packed_product(a, right.select(F.col(k).alias("k"), F.col(j).alias("j")))
+
+
+def boolean_product(left: DataFrame, right: DataFrame, right_transposed: bool = False) -> DataFrame:
+    """i, j of the entries of A·B that are not zero; with ``right_transposed`` of A·Bᵀ."""
+    return _unpacked(_product_sets(left, right, right_transposed), "i", "j")
 
 
-def reduced_count(pairs: DataFrame, name: str) -> DataFrame:
-    return pairs.agg(F.count("*").alias(name))
+def boolean_count(left: DataFrame, right: DataFrame, right_transposed: bool = False, name: str = "nnz") -> DataFrame:
+    """How many such entries there are; no entry is made."""
+    return _set_sizes(_product_sets(left, right, right_transposed), name)
 
 
 def khop_edges(edges: DataFrame, hops: int = 2) -> DataFrame:

@@ -264,7 +264,8 @@ def walk2(spark, sf_dir):
 
 @query(f"{WALK} SELECT count(*)::BIGINT n FROM w")
 def walk2_count(spark, sf_dir):
-    return traversal.reduced_count(walk2(spark, sf_dir), "n")
+    g = supply_graph(spark, sf_dir)
+    return traversal.walk_count(g, g)
 
 
 @query(f"{WALK}, sc AS (SELECT (max(greatest(src, dst)) + 1 + 3) // 4 s FROM w) SELECT src // s block_x, dst // s block_y, count(*)::BIGINT n_edges FROM w, sc GROUP BY 1, 2")
@@ -282,7 +283,7 @@ def bool_matmul(spark, sf_dir):
 def bool_nnz(spark, sf_dir):
     """The same product with its right operand stored transposed."""
     g = supply_graph(spark, sf_dir)
-    return traversal.reduced_count(traversal.boolean_product(g, structure.transpose(g), right_transposed=True), "nnz")
+    return traversal.boolean_count(g, structure.transpose(g), right_transposed=True)
 
 
 KHOP = f"WITH {G1}, {ENDS.format(g='g1')}, r AS (SELECT id center, id FROM ends UNION SELECT e.id, g1.dst FROM ends e JOIN g1 ON g1.src = e.id), h AS (SELECT center, src, dst FROM r JOIN g1 ON g1.src = r.id)"

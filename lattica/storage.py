@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+_WRITTEN: dict[str, str | None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset (as in tests), a folder of our own."""
+    """``spark.checkpoint.dir`` of the session; only where that is unset and the session is local (as in tests), a folder of our own."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         known = checkpoint.get() if checkpoint.isDefined() else None
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.sparkContext.setCheckpointDir(known)
     return known if ":" in known else "file://" + known
@@ -29,4 +34,63 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = None
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def stored_with(df: DataFrame, name: str, *facts: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates over all rows that the same job takes while it writes."""
+    seen = Observation()
+    out = stored(df.observe(seen, *facts), name)
+    return out, seen.get
+
+
+def bucketed(df: DataFrame, name: str, *keys: str, placed: bool = False) -> DataFrame:
+    """``df`` stored in as many buckets of ``keys`` as there are shuffle partitions.
+
+    Joins and sums by these keys then read it where it lies and shuffle only their
+    other side. ``placed``: the rows come from a shuffle by the keys already.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    rows = df if placed else df.repartition(parts, *keys)
+    rows.write.format("parquet").bucketBy(parts, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    _WRITTEN[path] = table
+    out = spark.table(table)
+    out._stored_at = path
+    return out
+
+
+def bucketed_with(df: DataFrame, name: str, keys: tuple[str, ...], *facts: Column) -> tuple[DataFrame, dict]:
+    """``bucketed`` for rows that come from a shuffle by ``keys``, with aggregates from the same job."""
+    seen = Observation()
+    out = bucketed(df.observe(seen, *facts), name, *keys, placed=True)
+    return out, seen.get
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if table := _WRITTEN.pop(path, None):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes stored tables that no result reads any more."""
+    for df in tables:
+        if (path := getattr(df, "_stored_at", None)) in _WRITTEN:
+            _remove(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this process has stored; results that read it are then void."""
+    for path in list(_WRITTEN):
+        _remove(spark, path)
+
+
+def rows_total() -> Column:
+    return F.count(F.lit(1)).alias("n")
