@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .vectors import perceptron
 
 
 def fit_perceptron(x: np.ndarray, y: np.ndarray, hidden: int = 8, rounds: int = 300, rate: float = 0.05, seed: int = 42) -> dict:
@@ -24,3 +30,27 @@ def fit_perceptron(x: np.ndarray, y: np.ndarray, hidden: int = 8, rounds: int =
         speed = [0.9 * s + d for s, d in zip(speed, slopes)]
         w1, b1, w2, b2 = (w - rate * s * len(x) ** 0.5 for w, s in zip((w1, b1, w2, b2), speed))
     return {"w1": w1.tolist(), "b1": b1.tolist(), "w2": w2.tolist(), "b2": float(b2)}
+
+
+def get_parameters(network: dict) -> str:
+    """The network as JSON text."""
+    return json.dumps({k: network[k] for k in ("w1", "b1", "w2", "b2")})
+
+
+def set_parameters(text: str) -> dict:
+    """The network from such text; raises where shapes do not fit."""
+    network = json.loads(text)
+    if not len(network["w1"]) == len(network["b1"]) == len(network["w2"]) or len(set(map(len, network["w1"]))) > 1:
+        raise ValueError("shapes of the parameters do not fit")
+    return network
+
+
+def predict(rows: DataFrame, network: dict, vector_col: str = "x", threshold: float = 0.5) -> DataFrame:
+    """``rows`` with p and predicted (1 if p > ``threshold``, else 0), inside code generation."""
+    scored = rows.withColumn("p", perceptron(F.col(vector_col), network["w1"], network["b1"], network["w2"], network["b2"]))
+    return scored.withColumn("predicted", (F.col("p") > threshold).cast("int"))
+
+
+def squared_loss(rows: DataFrame, label_col: str = "y") -> DataFrame:
+    """loss: the mean squared error of predicted rows, one row."""
+    return rows.agg(F.avg((F.col("p") - F.col(label_col)) ** 2).alias("loss"))

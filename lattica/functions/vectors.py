@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.structure import running
+from ..storage import bucketed, released
+from . import hashes
 from .linalg import relu, sigmoid
 
 
@@ -59,19 +62,33 @@ def learned_filter(pairs: DataFrame, w1, b1, w2, b2, threshold: float = 0.1) ->
     return scored.filter(F.col("p") >= threshold).select("a", "b", "p")
 
 
-def in_means(features: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, dim, v: the mean over in-neighbours; 0 where there are none."""
+def in_means(features: DataFrame, edges: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """id, dim, v: the mean over in-neighbours; 0 where there are none. ``counts``: id, n (in-degrees), if known."""
     got = edges.join(features, edges["src"] == features["id"]).groupBy(F.col("dst").alias("id"), "dim").agg(F.sum("v").alias("s"))
-    n = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    n = in_counts(edges) if counts is None else counts
     means = got.join(n, "id").select("id", "dim", (F.col("s") / F.col("n")).alias("m"))
     return features.select("id", "dim").join(means, ["id", "dim"], "left").select("id", "dim", F.coalesce("m", F.lit(0.0)).alias("v"))
 
 
+def in_counts(edges: DataFrame) -> DataFrame:
+    return edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+
+
 def mean_embedding(features: DataFrame, edges: DataFrame, rounds: int = 1) -> DataFrame:
-    """(I + M)^rounds · M · X, with M the mean over in-neighbours."""
-    x = in_means(features, edges)
+    """(I + M)^rounds · M · X, with M the mean over in-neighbours.
+
+    Edges lie in buckets of their source, in-degrees are counted once, and each
+    round reads what the one before has stored.
+    """
+    edges = bucketed(edges.select("src", "dst"), "edges", "src")
+    n = bucketed(in_counts(edges), "counts", "id", placed=True)
+    x = bucketed(in_means(features, edges, n), "means", "id")
     for _ in range(rounds):
-        x = x.unionByName(in_means(x, edges)).groupBy("id", "dim").agg(F.sum("v").alias("v"))
+        m = in_means(x, edges, n).withColumnRenamed("v", "m")
+        after = bucketed(x.join(m, ["id", "dim"]).select("id", "dim", (F.col("v") + F.col("m")).alias("v")), "means", "id")
+        released(x)
+        x = after
+    released(edges, n)
     return x
 
 
@@ -113,5 +130,21 @@ def training_samples(truth: DataFrame, universe: DataFrame) -> DataFrame:
 
 def split(samples: DataFrame, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """(train, test): about ``percent`` of each class, by a hash of the id."""
-    place = F.pmod(F.xxhash64("vid", F.lit(7)), F.lit(100))
+    place = F.pmod(hashes.portable(F.lit(7), "vid"), F.lit(100))
     return samples.filter(place < percent), samples.filter(place >= percent)
+
+
+def stratified(samples: DataFrame, percent: int = 90, label: str = "y") -> DataFrame:
+    """``samples`` with ``part``: train for exactly floor(n * percent / 100) rows of each class, those of least hash, else test."""
+    hashed = samples.withColumn("__h", hashes.portable(F.lit(7), "vid"))
+    place = running(hashed, [label, "__h", "vid"], "__at")
+    sizes = samples.groupBy(label).agg(F.count("*").alias("__size"))
+    first = F.broadcast(sizes.withColumn("__first", F.sum("__size").over(Window.orderBy(label)) - F.col("__size")))
+    cut = F.floor(F.col("__size") * percent / 100)
+    return place.join(first, label).withColumn("part", F.when(F.col("__at") - F.col("__first") < cut, "train").otherwise("test")).select(*samples.columns, "part")
+
+
+def training_set(truth: DataFrame, universe: DataFrame, embeddings: DataFrame, pivot: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vid, y, x (the three combined similarities to vector ``pivot``), part (train, test) of the samples that have a vector."""
+    pairs = against(embeddings, pivot, id_col, vector_col).select(F.col("b").cast("long").alias("vid"), combined(F.col("va"), F.col("vb")).alias("x"))
+    return stratified(training_samples(truth, universe).join(pairs, "vid").select("vid", "y", "x"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hashes
 from .traversal import khop_edges
 
 
@@ -27,7 +28,7 @@ def pivot_stats(found: DataFrame) -> DataFrame:
 
 def default_label(vertex: Column, kinds: int = 1) -> Column:
     """``default``, or one of ``default_0``, ... by a hash of the id."""
-    return F.lit("default") if kinds <= 1 else F.concat(F.lit("default_"), F.pmod(F.xxhash64(vertex), F.lit(kinds)))
+    return F.lit("default") if kinds <= 1 else F.concat(F.lit("default_"), F.pmod(hashes.portable(F.lit(42), vertex), F.lit(kinds)))
 
 
 def pivot_documents(found: DataFrame, graph_id: int, business_id: int, time: str, pivot_time: str, kinds: int = 1, edge_label: str = "default") -> DataFrame:
@@ -41,5 +42,23 @@ def pivot_documents(found: DataFrame, graph_id: int, business_id: int, time: str
     return grouped.select(F.lit(graph_id).alias("graph_id"), F.lit(business_id).alias("business_id"), F.col("pivot").alias("pivot_graph_id"), F.lit(time).alias("_time"), F.lit(pivot_time).alias("_pivot_time"), F.struct(main.alias("main")).alias("graph"))
 
 
-def collection_name(graph_id: int, business_id: int) -> str:
-    return f"datasource_{graph_id}_time_pivot_graph_{business_id}"
+def write_pivots(found: DataFrame, path: str, graph_id: int, business_id: int, time: str, pivot_time: str, kinds: int = 1, edge_label: str = "default") -> None:
+    """Three folders of JSON lines under ``path``: pivot_graphs, pivot_graph_ids and graph_structure (one row).
+
+    The structure counts vertices and edges of the whole graph and lists the
+    vertex labels and the label triples of its edges; both lists are as short as
+    the graph's schema.
+    """
+    edges = found.select("src", "dst").distinct()
+    label = lambda c: default_label(F.col(c), kinds)
+    triples = edges.select(label("src").alias("src_label"), F.lit(edge_label).alias("label"), label("dst").alias("dst_label")).distinct().withColumn("attrs", F.array().cast("array<string>"))
+    vertices = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    labels = vertices.select(label("id").alias("label")).distinct().withColumn("attrs", F.array().cast("array<string>"))
+    listed = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
+    n, m = vertices.agg(F.count("*").alias("num_vertices")), edges.agg(F.count("*").alias("num_edges"))
+    one = listed(labels, "vertices").crossJoin(listed(triples, "edges")).crossJoin(n).crossJoin(m)
+    shape = one.select(F.lit(graph_id).alias("graph_id"), F.lit(business_id).alias("business_id"), "num_vertices", "num_edges", F.size("vertices").alias("num_vertex_labels"), F.size("edges").alias("num_edge_label_triples"), "vertices", "edges")
+    shape.coalesce(1).write.json(f"{path}/graph_structure")
+    ids = found.select(F.lit(graph_id).alias("graph_id"), F.lit(business_id).alias("business_id"), F.col("pivot").alias("pivot_graph_id")).distinct()
+    ids.write.json(f"{path}/pivot_graph_ids")
+    pivot_documents(found, graph_id, business_id, time, pivot_time, kinds, edge_label).write.json(f"{path}/pivot_graphs")

@@ -7,10 +7,12 @@ necessary conditions of an injective match, so they only prune.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashes
 from ..plans.pattern import Pattern
+from ..storage import rows_total, stored_with
 from .structure import degrees
 
 #: How many least hashes the k-min-wise sketch keeps.
@@ -71,19 +73,43 @@ def by_label_multiset(candidates: DataFrame, edges: DataFrame, pattern: Pattern)
 
 
 def kmin_sketch(edges: DataFrame, keep: int = KEPT) -> DataFrame:
-    """v, sketch: the ``keep`` least hashes of each vertex's out-neighbour labels, repeats included."""
-    ranked = edges.select(F.col("src").alias("v"), "dst", "dst_label").distinct().groupBy("v", "dst_label").agg(F.least(F.count("*"), F.lit(keep)).cast("int").alias("n"))
-    hashes = ranked.select("v", F.explode(F.array_repeat(F.xxhash64("dst_label"), F.col("n"))).alias("h"))
-    return hashes.groupBy("v").agg(F.slice(F.sort_array(F.collect_list("h")), 1, keep).alias("sketch"))
+    """v, side, h, c: the ``keep`` least hashes of each vertex's neighbour labels on either side, repeats included, c times each."""
+    hashed = _label_counts(edges).select("v", "side", hashes.portable("label").alias("h"), "n")
+    before = F.sum("n").over(Window.partitionBy("v", "side").orderBy("h")) - F.col("n")
+    return hashed.withColumn("before", before).filter(F.col("before") < keep).select("v", "side", "h", F.least("n", keep - F.col("before")).alias("c"))
+
+
+def _pattern_sketch(spark, pattern: Pattern, keep: int) -> DataFrame:
+    rows = []
+    for u in range(len(pattern.labels)):
+        for side, counts in zip(("in", "out"), pattern.neighbour_labels(u)):
+            left = keep
+            for h, n in sorted((hashes.portable_of(label), n) for label, n in counts.items() if label is not None):
+                if left > 0:
+                    rows.append((u, side, h, min(n, left)))
+                left -= n
+    return F.broadcast(spark.createDataFrame(rows, "u long, side string, h long, c long"))
+
+
+def by_kmin(candidates: DataFrame, edges: DataFrame, pattern: Pattern, keep: int = KEPT) -> DataFrame:
+    """Sketches of u and v, common values cancelled: u must not have a value left below all that v has left.
+
+    Were u's neighbour labels among v's, such a value would be in v's sketch too.
+    """
+    wanted = _pattern_sketch(edges.sparkSession, pattern, keep)
+    own = candidates.join(wanted, "u").select("u", "v", "side", "h", F.col("c").alias("a"), F.lit(0).cast("long").alias("b"))
+    has = candidates.join(kmin_sketch(edges, keep), "v").select("u", "v", "side", "h", F.lit(0).cast("long").alias("a"), F.col("c").alias("b"))
+    values = own.union(has).groupBy("u", "v", "side", "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    left = values.groupBy("u", "v", "side").agg(F.min(F.when(F.col("a") > F.col("b"), F.col("h"))).alias("x"), F.min(F.when(F.col("b") > F.col("a"), F.col("h"))).alias("y"))
+    return candidates.join(left.filter("x is not null and (y is null or x < y)"), ["u", "v"], "left_anti").select("u", "v")
 
 
 def by_least_hash(candidates: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
-    """The least hash of v's out-neighbour labels is no greater than that of u's."""
-    spark = edges.sparkSession
-    needs = [(u, label) for u in range(len(pattern.labels)) for label in pattern.neighbour_labels(u)[1] if label is not None]
-    least = edges.groupBy(F.col("src").alias("v")).agg(F.min(F.xxhash64("dst_label")).alias("has"))
-    wanted = F.broadcast(spark.createDataFrame(needs, "u long, label long").groupBy("u").agg(F.min(F.xxhash64("label")).alias("need")))
-    return candidates.join(wanted, "u", "left").join(least, "v", "left").filter("need is null or has <= need").select("u", "v")
+    """On either side the least hash of v's neighbour labels is no greater than that of u's."""
+    least = _label_counts(edges).groupBy("v", "side").agg(F.min(hashes.portable("label")).alias("has"))
+    wanted = F.broadcast(_pattern_sketch(edges.sparkSession, pattern, 1).select("u", "side", F.col("h").alias("need")))
+    missed = candidates.join(wanted, "u").join(least, ["v", "side"], "left").filter("has is null or has > need")
+    return candidates.join(missed, ["u", "v"], "left_anti").select("u", "v")
 
 
 def steady(candidates: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
@@ -102,10 +128,40 @@ def steady(candidates: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFra
     return candidates.join(total, "u", "left").join(met, ["u", "v"], "left").filter("conditions is null or met = conditions").select("u", "v")
 
 
+def by_out_degree(candidates: DataFrame, edges: DataFrame, pattern: Pattern) -> DataFrame:
+    """v has at least u's out-degree."""
+    return by_degree(candidates, edges, pattern, into=False)
+
+
+STEPS = {"degree": by_degree, "out_degree": by_out_degree, "variety": by_label_variety, "multiset": by_label_multiset, "kmin": by_kmin, "least_hash": by_least_hash, "steady": steady}
+
+
 def filtered(vertices: DataFrame, edges: DataFrame, pattern: Pattern, *names: str) -> DataFrame:
     """Label candidates through the named filters in turn."""
-    steps = {"degree": by_degree, "variety": by_label_variety, "multiset": by_label_multiset, "least_hash": by_least_hash, "steady": steady}
     out = by_label(vertices, pattern)
     for name in names:
-        out = steps[name](out, edges, pattern)
+        out = STEPS[name](out, edges, pattern)
     return out
+
+
+def filtered_counts(vertices: DataFrame, edges: DataFrame, pattern: Pattern, *names: str) -> tuple[DataFrame, DataFrame]:
+    """(``filtered``, stored; rows of step, name, n: the candidates that each filter leaves). Every step runs once."""
+    out, facts = stored_with(by_label(vertices, pattern), "candidates", rows_total())
+    counts = [(0, "label", facts["n"])]
+    for i, name in enumerate(names, 1):
+        out, facts = stored_with(STEPS[name](out, edges, pattern), "candidates", rows_total())
+        counts.append((i, name, facts["n"]))
+    return out, edges.sparkSession.createDataFrame(counts, "step long, name string, n long")
+
+
+def mask(vertices: DataFrame, candidates: DataFrame, pattern: Pattern) -> DataFrame:
+    """u, v, valid (0 or 1) for every pattern vertex and every data vertex."""
+    every = vertices.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(pattern.labels) - 1).cast("long"))).alias("u"), F.col("id").alias("v"))
+    return every.join(candidates.select("u", "v", F.lit(1).alias("valid")), ["u", "v"], "left").select("u", "v", F.coalesce("valid", F.lit(0)).alias("valid"))
+
+
+def feasible_edges(vertices: DataFrame, edges: DataFrame, pattern: Pattern, k: int, *names: str) -> DataFrame:
+    """src, dst of the data edges that pattern edge ``k`` may be, by its labels and by the filters at both ends."""
+    from .matching import edge_candidates
+
+    return edge_candidates(edges, pattern, k, filtered(vertices, edges, pattern, *names))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashes
 from ..storage import new_path
 
 
@@ -37,12 +38,17 @@ def read_block(spark, path: str, x: int, y: int) -> DataFrame:
     return spark.read.parquet(path).filter((F.col("block_x") == x) & (F.col("block_y") == y))
 
 
+def width_of(scope: int, tile_size: int) -> int:
+    """Ids along one side of a tile: a tile size under 128 counts strips."""
+    return -(-scope // tile_size) if tile_size < 128 else tile_size
+
+
 def tiles(blocks: DataFrame, scope: int, tile_size: int) -> DataFrame:
     """Blocks' edges with tile_x, tile_y inside the block and x_in, y_in inside the tile.
 
     A tile size under 128 counts strips: tiles are then ceil(scope / tile_size) wide.
     """
-    size = -(-scope // tile_size) if tile_size < 128 else tile_size
+    size = width_of(scope, tile_size)
     return blocks.withColumns({n: F.expr(e) for n, e in (("tile_x", f"(src % {scope}) div {size}"), ("tile_y", f"(dst % {scope}) div {size}"), ("x_in", f"(src % {scope}) % {size}"), ("y_in", f"(dst % {scope}) % {size}"))})
 
 
@@ -70,14 +76,14 @@ def tile_layout_product(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "k").select("tile_i", "tile_j").distinct()
 
 
-def edge_cut(edges: DataFrame, parts: int, hashed: bool = False) -> DataFrame:
-    """Edges with part, by source: all out-edges of a vertex together."""
-    return edges.withColumn("part", F.pmod(F.xxhash64("src") if hashed else F.col("src"), F.lit(parts)))
+def edge_cut(edges: DataFrame, parts: int, hashed: bool = True) -> DataFrame:
+    """Edges with part, by a hash of the source (or the source itself): all out-edges of a vertex together."""
+    return edges.withColumn("part", F.pmod(hashes.portable("src") if hashed else F.col("src"), F.lit(parts)))
 
 
-def vertex_cut(edges: DataFrame, parts: int, hashed: bool = False) -> DataFrame:
+def vertex_cut(edges: DataFrame, parts: int, hashed: bool = True) -> DataFrame:
     """Edges with part, by both ends: a vertex's edges may lie apart."""
-    return edges.withColumn("part", F.pmod(F.xxhash64("src", "dst") if hashed else F.col("src") * 31 + F.col("dst"), F.lit(parts)))
+    return edges.withColumn("part", F.pmod(hashes.portable("src", "dst") if hashed else F.col("src") * 31 + F.col("dst"), F.lit(parts)))
 
 
 def part_sizes(edges: DataFrame) -> DataFrame:

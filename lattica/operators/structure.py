@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashes
 from ..storage import stored
 
 
@@ -101,8 +102,19 @@ def modulo_labels(vertices: DataFrame, classes: int = 5) -> DataFrame:
 
 
 def random_labels(vertices: DataFrame, classes: int = 5, seed: int = 0) -> DataFrame:
-    """id, label in [0, classes): by a seeded hash of the id, so reruns agree."""
-    return vertices.select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(classes)).alias("label"))
+    """id, label in [0, classes): the id and a seeded hash of it added up, so reruns agree."""
+    return vertices.select("id", F.pmod(hashes.portable(F.lit(seed), "id") + F.col("id"), F.lit(classes)).alias("label"))
+
+
+def local_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """src, dst as the dense ids of ``ids`` (id, dense_id); ends that it lacks are left out."""
+    name = lambda end: ids.select(F.col("id").alias(end), F.col("dense_id").alias(f"__{end}"))
+    return edges.join(name("src"), "src").join(name("dst"), "dst").select(F.col("__src").alias("src"), F.col("__dst").alias("dst"))
+
+
+def global_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The way back: dense ids as the ids they stand for."""
+    return local_edges(edges, ids.select(F.col("dense_id").alias("id"), F.col("id").alias("dense_id")))
 
 
 def one_hot(vertices: DataFrame, classes: int = 64) -> DataFrame:

@@ -1,20 +1,22 @@
 """Text and binary graph formats. Text goes through Spark's readers and writers.
 
 Binary files are read in byte ranges, one task a range, from any store that
-pyarrow opens by URI. Writers of single binary files stream rows from Spark in
-order to one file, for programs that want one; Parquet is the format to keep
-large graphs in.
+pyarrow opens by URI. They are written as parts, one task a range of the order;
+the driver then only puts the parts' bytes one after the other into the single
+file that such formats ask for. Parquet is the format to keep large graphs in.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.structure import adjacency, csr_offsets, degrees, endpoints
+from ..functions import hashes
+from ..operators.structure import csr_offsets, degrees, endpoints, running
+from ..storage import file_system, new_path, released, rows_total, stored, stored_with
 
 RANGE = 1 << 23
 
@@ -88,7 +90,7 @@ def elapsed_sum(spark: SparkSession, path: str, pattern: str = r"elapsed:?\s*([0
 
 
 def _size(path: str) -> int:
-    where, at = fs.FileSystem.from_uri(path)
+    where, at = file_system(path)
     return where.get_file_info(at).size
 
 
@@ -101,7 +103,7 @@ def read_array(spark: SparkSession, path: str, kind: str = "<u4", offset: int =
     real = np.dtype(kind).kind == "f"
 
     def run(batches):
-        where, at = fs.FileSystem.from_uri(path)
+        where, at = file_system(path)
         with where.open_input_file(at) as source:
             for batch in batches:
                 for k in batch.column(0).to_pylist():
@@ -114,40 +116,94 @@ def read_array(spark: SparkSession, path: str, kind: str = "<u4", offset: int =
     return spark.range(0, blocks, 1, max(1, min(blocks, 10_000))).mapInArrow(run, schema)
 
 
-def write_array(rows: DataFrame, path: str, kind: str = "<u4") -> int:
-    """Streams the columns of ``rows``, in their order, to one file of numbers; how many bytes."""
-    where, at = fs.FileSystem.from_uri(path)
-    where.create_dir(at.rpartition("/")[0], recursive=True)
-    total, held = 0, []
+def write_parts(rows: DataFrame, path: str, kind: str = "<u4") -> list[tuple[str, int]]:
+    """(file, bytes) of the numbers of ``rows``, in their order: a file for each of their partitions."""
+
+    def write(batches):
+        where, at = file_system(path)
+        where.create_dir(at, recursive=True)
+        part, size = TaskContext.get().partitionId(), 0
+        name = f"part-{part:06d}-{TaskContext.get().taskAttemptId()}.bin"
+        with where.open_output_stream(f"{at}/{name}") as out:
+            for batch in batches:
+                data = np.column_stack([np.asarray(c) for c in batch.columns]).astype(kind).tobytes()
+                out.write(data)
+                size += len(data)
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{path}/{name}"], "size": [size]})
+
+    found = stored(rows.mapInArrow(write, "part long, file string, size long"), "parts")
+    out = [(r.file, r.size) for r in sorted(found.collect())]
+    released(found)
+    return out
 
-    def put(out) -> int:
-        data = np.array(held, kind).tobytes()
-        out.write(data)
-        held.clear()
-        return len(data)
 
+def join_parts(parts: list[tuple[str, int]], path: str) -> int:
+    """Puts the parts one after the other into one file and deletes them; how many bytes."""
+    where, at = file_system(path)
+    where.create_dir(at.rpartition("/")[0], recursive=True)
     with where.open_output_stream(at) as out:
-        for row in rows.toLocalIterator(prefetchPartitions=True):
-            held.append(tuple(row))
-            if len(held) >= 100_000:
-                total += put(out)
-        return total + put(out)
+        for file, _ in parts:
+            source, name = file_system(file)
+            with source.open_input_stream(name) as part:
+                while data := part.read(RANGE):
+                    out.write(data)
+            source.delete_file(name)
+    return sum(size for _, size in parts)
+
+
+def write_array(rows: DataFrame, path: str, kind: str = "<u4") -> int:
+    """The columns of ``rows``, in their order, as one file of numbers; how many bytes."""
+    return join_parts(write_parts(rows, new_path(rows.sparkSession, "parts"), kind), path)
+
+
+def _yaml_lines(value, indent: int) -> list[str]:
+    pad = "  " * indent
+    if isinstance(value, dict):
+        return [line for k, v in value.items() for line in ([f"{pad}{k}:", *_yaml_lines(v, indent + 1)] if isinstance(v, (dict, list)) else [f"{pad}{k}: {v}"])]
+    out = []
+    for item in value:
+        lines = _yaml_lines(item, indent + 1)
+        out += [f"{pad}- {lines[0].strip()}", *lines[1:]]
+    return out
 
 
 def write_yaml(path: str, section: str, values: dict) -> None:
-    where, at = fs.FileSystem.from_uri(path)
+    """Scalars, dicts of them and lists of dicts under one section."""
+    where, at = file_system(path)
     where.create_dir(at.rpartition("/")[0], recursive=True)
     with where.open_output_stream(at) as out:
-        out.write((f"{section}:\n" + "".join(f"  {k}: {v}\n" for k, v in values.items())).encode())
+        out.write(("\n".join([f"{section}:", *_yaml_lines(values, 1)]) + "\n").encode())
+
+
+def _scalar(text: str):
+    text = text.strip()
+    return int(text) if text.lstrip("-").isdigit() else text
+
+
+def _yaml_block(lines: list[tuple[int, str]]):
+    """The value of lines (indent, text) of one block."""
+    if lines[0][1].startswith("- "):
+        starts = [i for i, (n, t) in enumerate(lines) if n == lines[0][0] and t.startswith("- ")]
+        items = [lines[a:b] for a, b in zip(starts, [*starts[1:], len(lines)])]
+        return [_yaml_block([(n + 2, item[0][1][2:]) for n in [item[0][0]]] + item[1:]) for item in items]
+    out, i = {}, 0
+    while i < len(lines):
+        indent, text = lines[i]
+        key, _, rest = text.partition(":")
+        end = i + 1
+        while end < len(lines) and (lines[end][0] > indent or lines[end][0] == indent and lines[end][1].startswith("- ")):
+            end += 1
+        out[key.strip()] = _scalar(rest) if rest.strip() or end == i + 1 else _yaml_block(lines[i + 1 : end])
+        i = end
+    return out
 
 
 def read_yaml(path: str) -> dict:
-    """Section and scalars of the small files beside the arrays."""
-    where, at = fs.FileSystem.from_uri(path)
+    """What the first section of such a file holds."""
+    where, at = file_system(path)
     with where.open_input_stream(at) as source:
-        lines = source.read().decode().splitlines()
-    pairs = [line.strip().split(":", 1) for line in lines if ":" in line and not line.rstrip().endswith(":")]
-    return {k.strip(): int(v) if v.strip().lstrip("-").isdigit() else v.strip() for k, v in pairs}
+        lines = [(len(x) - len(x.lstrip()), x.strip()) for x in source.read().decode().splitlines() if x.strip()]
+    return next(iter(_yaml_block(lines).values()))
 
 
 def write_edge_list(edges: DataFrame, vertices: DataFrame, folder: str) -> None:
@@ -170,22 +226,29 @@ def read_edge_list(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
 def write_csr(vertices: DataFrame, edges: DataFrame, folder: str) -> None:
     """graphs/0.bin (ids, degrees, offsets, neighbours, then the two id maps), label/0.bin, meta.yaml.
 
-    Vertices are numbered by ascending id; neighbours are those numbers.
+    Vertices are numbered by ascending id; neighbours are those numbers, sorted.
+    Every array is made and written by ranges; no list is held whole.
     """
-    known = [r.id for r in vertices.select("id").orderBy("id").toLocalIterator()]
-    local = {v: i for i, v in enumerate(known)}
-    rows = {r.id: r for r in adjacency(edges).toLocalIterator()}
-    lists = [([local[x] for x in rows[v].in_nbrs], [local[x] for x in rows[v].out_nbrs]) if v in rows else ([], []) for v in known]
-    ins, outs = [len(a) for a, _ in lists], [len(b) for _, b in lists]
-    greatest = known[-1] if known else -1
-    back = [local.get(v, 0xFFFFFFFF) for v in range(greatest + 1)]
-    arrays = [known, ins, outs, [0, *np.cumsum(ins)], [0, *np.cumsum(outs)], [x for a, _ in lists for x in a], [x for _, b in lists for x in b], range(greatest + 1), back]
-    where, at = fs.FileSystem.from_uri(folder)
-    for name, data in (("graphs/0.bin", b"".join(np.array(list(a), "<u4").tobytes() for a in arrays)), ("label/0.bin", np.array([r.label for r in vertices.orderBy("id").toLocalIterator()], "<u4").tobytes())):
-        where.create_dir(f"{at}/{name.partition('/')[0]}", recursive=True)
-        with where.open_output_stream(f"{at}/{name}") as out:
-            out.write(data)
-    write_yaml(f"{folder}/meta.yaml", "GraphMetadata", {"num_vertices": len(known), "num_edges": sum(ins) + sum(outs), "max_vid": greatest, "min_vid": known[0] if known else 0})
+    spark = edges.sparkSession
+    known, facts = stored_with(running(vertices.select("id", "label"), ["id"], "local"), "local", rows_total(), F.min("id").alias("low"), F.max("id").alias("high"))
+    n, low, high = facts["n"], facts["low"] or 0, -1 if facts["high"] is None else facts["high"]
+    name = lambda end, to: known.select(F.col("id").alias(end), F.col("local").alias(to))
+    links, facts = stored_with(edges.join(name("src", "s"), "src").join(name("dst", "d"), "dst").select("s", "d"), "links", rows_total())
+    m = facts["n"]
+    count = lambda end, to: links.groupBy(F.col(end).alias("local")).agg(F.count("*").alias(to))
+    rows = stored(known.join(count("d", "ins"), "local", "left").join(count("s", "outs"), "local", "left").na.fill(0, ["ins", "outs"]), "rows")
+    total = spark.createDataFrame([(m,)], "at long")
+    offsets = lambda c: running(rows.select("local", c), ["local"], "at", c).orderBy("local").select("at").union(total)
+    every = spark.range(high + 1)
+    back = every.join(known.select("id", "local"), "id", "left").orderBy("id").select(F.coalesce("local", F.lit(0xFFFFFFFF)))
+    ordered = lambda c: rows.orderBy("local").select(c)
+    arrays = [ordered("id"), ordered("ins"), ordered("outs"), offsets("ins"), offsets("outs"), links.orderBy("d", "s").select("s"), links.orderBy("s", "d").select("d"), every, back]
+    parts = [part for array in arrays for part in write_parts(array, new_path(spark, "parts"))]
+    join_parts(parts, f"{folder}/graphs/0.bin")
+    write_array(ordered("label"), f"{folder}/label/0.bin")
+    part = {"gid": 0, "num_vertices": n, "num_incoming_edges": m, "num_outgoing_edges": m, "max_vid": high, "min_vid": low}
+    write_yaml(f"{folder}/meta.yaml", "GraphMetadata", {"num_vertices": n, "num_edges": 2 * m, "max_vid": high, "min_vid": low, "count_border_vertices": 0, "num_subgraphs": 1, "subgraphs": [part]})
+    released(known, links, rows)
 
 
 def read_csr(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -244,17 +307,33 @@ def read_pivots(spark: SparkSession, path: str, graph_id: int | None = None, bus
 
 def random_graph(spark: SparkSession, n: int, m: int, classes: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """vertices(id, label) and about ``m`` edges more than a tree from vertex 0; no pair both ways, no loops."""
-    pick = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 40))
-    vertices = spark.range(n).select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(classes)).alias("label"))
-    tree = spark.range(1, max(n, 1)).select((pick("id") % F.col("id")).alias("a"), F.col("id").alias("b"))
-    more = spark.range(m).select((pick("id", F.lit(1)) % n).alias("x"), (pick("id", F.lit(2)) % n).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pick = lambda kind: hashes.portable(F.lit(seed), F.lit(kind), "id")
+    vertices = spark.range(n).select("id", (pick("label") % classes).alias("label"))
+    tree = spark.range(1, max(n, 1)).select((pick("tree") % F.col("id")).alias("a"), F.col("id").alias("b"))
+    more = spark.range(m).select((pick("x") % n).alias("x"), (pick("y") % n).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return vertices, tree.union(more).filter("a <> b").distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def stable_id(text) -> object:
-    """Digits as their number, else a 64-bit hash folded to 32 bits."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.when(text.rlike(r"^[0-9]+$"), text.cast("long")).otherwise(F.pmod(F.xxhash64(text), F.lit(1 << 32)))
+    """Digits as their number, else FNV-1a with 32 bits."""
+    return hashes.stable_id(F.col(text) if isinstance(text, str) else text)
+
+
+def write_roots(roots: DataFrame, path: str) -> int:
+    """The ids of matched roots, ascending, 8 bytes each; how many bytes."""
+    return write_array(roots.select("root").orderBy("root"), path, "<u8")
+
+
+def read_roots(spark: SparkSession, path: str) -> DataFrame:
+    return read_array(spark, path, "<u8").select(F.col("v0").alias("root"))
+
+
+def read_native_csr(spark: SparkSession, folder: str) -> DataFrame:
+    """pos, src, dst of such files: ids are places, so they are dense from 0."""
+    ends = read_array(spark, f"{folder}/native_csrOffset_u32.bin").select("pos", F.col("v0").alias("first"))
+    spans = ends.join(ends.select((F.col("pos") - 1).alias("pos"), F.col("first").alias("past")), "pos").filter("first < past")
+    owners = spans.select(F.col("pos").alias("src"), F.explode(F.sequence("first", F.col("past") - 1)).alias("pos"))
+    return owners.join(read_array(spark, f"{folder}/native_csrDest_u32.bin"), "pos").select("pos", "src", F.col("v0").alias("dst"))
 
 
 def graph_of(edges: DataFrame, classes: int = 5) -> tuple[DataFrame, DataFrame]:

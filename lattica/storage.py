@@ -94,3 +94,21 @@ def clean(spark: SparkSession) -> None:
 
 def rows_total() -> Column:
     return F.count(F.lit(1)).alias("n")
+
+
+#: Schemes of Spark's folders that pyarrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def file_system(path: str):
+    """(pyarrow file system, path in it) of a path as Spark writes it."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if not colon:
+        return fs.LocalFileSystem(), path
+    if scheme == "dbfs":  # mounted on every machine
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")

@@ -2,10 +2,13 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import documents
+from lattica import convert, storage
+from lattica.functions import hashes
+from lattica.operators import documents, tiled
 from lattica.sources import formats
 from lattica.streaming.degrees import streaming_degrees
 
@@ -57,6 +60,11 @@ def test_compressed_rows(spark, graph, tmp_path):
     formats.write_csr(*graph, folder)
     vertices, edges = formats.read_csr(spark, folder)
     assert labels_of(vertices) == labels_of(graph[0]) and edges_of(edges) == EDGES
+    meta = formats.read_yaml(f"{folder}/meta.yaml")
+    assert meta["num_edges"] == 8 and meta["num_subgraphs"] == 1 and meta["subgraphs"] == [{"gid": 0, "num_vertices": 5, "num_incoming_edges": 4, "num_outgoing_edges": 4, "max_vid": 7, "min_vid": 0}]
+    # ids, in- and out-degrees, offsets, in- and out-neighbours, ids by place, places by id
+    expected = [[0, 1, 2, 3, 7], [1, 2, 0, 1, 0], [2, 0, 1, 0, 1], [0, 1, 3, 3, 4, 4], [0, 2, 2, 3, 3, 4], [4, 0, 2, 0], [1, 3, 1, 0], list(range(8)), [0, 1, 2, 3, 2**32 - 1, 2**32 - 1, 2**32 - 1, 4]]
+    assert np.fromfile(tmp_path / "csr/graphs/0.bin", "<u4").tolist() == sum(expected, [])
     formats.write_native_csr(graph[1], folder)
     assert (tmp_path / "csr/native_csrDest_u32.bin").stat().st_size == 16
 
@@ -88,7 +96,8 @@ def test_random_graph_and_logs(spark, tmp_path):
     (tmp_path / "log").write_text("a elapsed: 1.5 s\nnothing\nelapsed 2\n")
     assert formats.elapsed_sum(spark, str(tmp_path / "log")).first().total == 3.5
     ids = spark.createDataFrame([("12",), ("x1",)], "t string").select(formats.stable_id("t").alias("id")).collect()
-    assert ids[0].id == 12 and 0 <= ids[1].id < 1 << 32
+    assert ids[0].id == 12
+    assert [r.h for r in spark.createDataFrame([("",), ("a",), ("foobar",)], "t string").select(hashes.fnv1a32(F.col("t")).alias("h")).collect()] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
 
 
 def test_streaming_degrees(spark, tmp_path):
@@ -100,6 +109,30 @@ def test_streaming_degrees(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("select id, in_degree, out_degree from degrees_seen").collect())) == [(0, 1, 2), (1, 2, 0), (2, 0, 1), (3, 1, 0), (7, 0, 1)]
 
 
+@pytest.mark.parametrize("mode", ["edgelistcsv2edgelistbin", "edgelistcsv2csrbin", "edgelistcsv2egsm", "edgelistcsv2bittiledmatrix", "edgelistcsv2arangodbjson", "edgelistcsv2cggraphcsr"])
+def test_conversions(spark, tmp_path, mode):
+    (tmp_path / "g.csv").write_text("0,1\n0,3\n2,1\n3,0")
+    target = f"file://{tmp_path}/out"
+    convert.convert(spark, mode, f"file://{tmp_path}/g.csv", target)
+    read = {"edgelistbin": lambda: formats.read_edge_list(spark, target)[1], "csrbin": lambda: formats.read_csr(spark, target)[1], "egsm": lambda: formats.read_text_graph(spark, target)[1], "bittiledmatrix": lambda: tiled.read_tiled(spark, target), "arangodbjson": lambda: formats.read_pivots(spark, f"{target}/pivot_graphs"), "cggraphcsr": lambda: formats.read_native_csr(spark, target)}
+    assert edges_of(read[mode.partition("2")[2]]()) == [(0, 1), (0, 3), (2, 1), (3, 0)]
+    with pytest.raises(ValueError):
+        convert.convert(spark, "x2y", "a", "b")
+
+
+def test_folders_of_other_schemes():
+    assert storage.file_system("/a/b")[1] == storage.file_system("file:///a/b")[1] == "/a/b"
+    assert storage.file_system("dbfs:/x/y")[1] == "/dbfs/x/y"
+    assert storage.SCHEMES["s3a"] == "s3"
+
+
+def test_stored_tables_are_deleted(spark):
+    a, b = storage.stored(spark.range(3), "a"), storage.bucketed(spark.range(3), "b", "id")
+    assert a.count() == b.count() == 3
+    storage.released(a, b)
+    assert not Path(a._stored_at.removeprefix("file://")).exists() and not Path(b._stored_at.removeprefix("file://")).exists()
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 

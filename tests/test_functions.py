@@ -66,10 +66,21 @@ def test_metrics_and_samples(spark):
     assert (empty.precision, empty.recall, empty.f1) == (0, 0, 0)
     found = vectors.training_samples(ids(*range(10)), ids(*range(200))).collect()
     assert sum(r.y for r in found) == 10 and len(found) == 20
+    strata = vectors.stratified(ids(*range(50)).withColumn("y", (F.col("vid") % 2).cast("int")))
+    assert sorted((r.y, r.part, r["count"]) for r in strata.groupBy("y", "part").count().collect()) == [(0, "test", 3), (0, "train", 22), (1, "test", 3), (1, "train", 22)]
     train, test = vectors.split(ids(*range(500)).withColumn("y", F.lit(1)))
     assert train.count() + test.count() == 500 and 400 < train.count() < 490
 
 
+def test_predict(spark):
+    network = {"w1": [[1.0, 0.0], [0.0, 1.0]], "b1": [0.0, 0.0], "w2": [2.0, -2.0], "b2": 0.0}
+    assert training.set_parameters(training.get_parameters(network)) == network
+    with pytest.raises(ValueError):
+        training.set_parameters(training.get_parameters(network | {"b1": [0.0]}))
+    rows = training.predict(spark.createDataFrame([([3.0, 1.0], 1), ([1.0, 3.0], 0)], "x array<double>, y int"), network)
+    assert all(r.predicted == r.y for r in rows.collect()) and training.squared_loss(rows).first().loss < 0.01
+
+
 def test_perceptron_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 3))

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict, deque
 
 import pytest
 
-from lattica.operators import filters, matching, partition, structure, traversal
+from lattica.operators import components, filters, matching, partition, sets, skew, structure, tiled, traversal
 from lattica.plans.pattern import Pattern
 
 README = [(0, 1), (1, 2), (2, 0), (3, 4), (4, 3)]
@@ -176,7 +176,7 @@ def test_matching(spark, pattern):
     assert pairs(matching.match(rows, pattern), *names) == iso
     assert pairs(matching.match(rows, pattern, injective=False), *names) == homo
     assert set(iso) <= set(homo)
-    for name in ("degree", "variety", "multiset", "least_hash", "steady"):
+    for name in ("degree", "out_degree", "variety", "multiset", "kmin", "least_hash", "steady"):
         kept = {(r.u, r.v) for r in filters.filtered(vertices, rows, pattern, name).collect()}
         assert all((u, v) in kept for bind in iso for u, v in enumerate(bind)), name
     candidates = filters.filtered(vertices, rows, pattern, "degree", "multiset")
@@ -211,6 +211,99 @@ def test_factorised(spark):
         if second:
             expected[root] = len(first) * len(second)
     assert dict(pairs(matching.factorised_counts(forest, 2), "root", "n")) == expected
+    complete = set(expected)
+    starts = {a for a, _ in edges}
+    assert {r.root for r in matching.incomplete_roots(forest, 2).collect()} == starts - complete
+    every = spark.createDataFrame([(v,) for v in range(12)], "root long")
+    assert {r.root for r in matching.incomplete_roots(forest, 2, every).collect()} == set(range(12)) - complete
+
+
+def test_factorised_circles_and_parts(spark):
+    edges, label = graph(11, 7, 22)
+    _, rows = labelled(spark, edges, label)
+    circle = Pattern((None, None, None), ((0, 1, None), (1, 2, None), (2, 0, None)))
+    out = defaultdict(set)
+    for a, b in edges:
+        out[a].add(b)
+    expected = {}
+    for root in {a for a, _ in edges}:
+        one = {(root, b) for b in out[root]}
+        two = {(b, c) for _, b in one for c in out[b]}
+        three = {(c, root) for _, c in two if root in out[c]}
+        if three:
+            expected[root] = len(one) * len(two) * len(three)
+    assert dict(pairs(matching.factorised_counts(matching.factorised(rows, circle), 3), "root", "n")) == expected
+    into = Pattern((None, None, None), ((0, 1, None), (2, 0, None)))
+    degree_in, degree_out = Counter(b for _, b in edges), Counter(a for a, _ in edges)
+    assert dict(pairs(matching.factorised_counts(matching.factorised(rows, into), 2), "root", "n")) == {v: degree_in[v] * degree_out[v] for v in range(7) if degree_in[v] and degree_out[v]}
+    apart = Pattern((None,) * 4, ((0, 1, None), (2, 3, None)))
+    assert dict(pairs(matching.factorised_counts(matching.factorised(rows, apart), 2), "root", "n")) == {v: degree_out[v] * len(edges) for v in degree_out}
+    many = spark.createDataFrame([(1, k, 0, i) for k in range(3) for i in range(1)], "root long, plan_edge int, src long, dst long")
+    big = spark.range(3).selectExpr("1L root", "cast(id as int) plan_edge", "explode(sequence(1L, 3000000L)) src", "0L dst")
+    assert str(matching.factorised_counts(big, 3).first().n) == str(3_000_000**3) and matching.factorised_counts(many, 3).first().n == 1
+
+
+def test_patterns_of_parts_and_none(spark):
+    edges, label = graph(12, 6, 14)
+    vertices, rows = labelled(spark, edges, label)
+    assert matching.match(rows, Pattern((), ())).count() == 0
+    assert pairs(matching.match(rows, Pattern((1,), ()), vertices=vertices), "u0") == sorted((v,) for v, x in label.items() if x == 1)
+    with pytest.raises(ValueError):
+        matching.match(rows, Pattern((1,), ()))
+    apart = Pattern((None, 0, 1, None), ((0, 1, None), (2, 3, None)))
+    scattered = Pattern((None, None, None, None), ((0, 1, None), (2, 3, None), (1, 2, None)))
+    for pattern in (apart, scattered, Pattern((None, None, 2), ((0, 1, None),))):
+        for injective in (True, False):
+            found = matching.match(rows, pattern, injective, given_order=True, vertices=vertices)
+            assert pairs(found, *found.columns) == sorted(embeddings(edges, label, pattern, injective))
+    assert scattered.order(as_given=True) == [0, 2, 1]
+    assert sorted(k for k, _ in scattered.walk(3)) == [0, 1, 2]
+
+
+def test_joins_with_hot_keys(spark):
+    left = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 1), (3, 1)], "k long, a long")
+    right = spark.createDataFrame([(1, 7), (1, 8), (2, 9), (4, 9)], "k long, b long")
+    assert skew.hot_keys(left, "k", share=100) == {1: 5}
+    assert pairs(skew.spread_join(left, right, "k", share=100), "k", "a", "b") == pairs(left.join(right, "k"), "k", "a", "b")
+
+
+def test_long_paths_and_circles(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(300, 301), (301, 302), (302, 300), (302, 5), (400, 400), (150, 3)]
+    g = df(spark, edges)
+    level = dict(pairs(traversal.bfs(g, 0), "id", "level"))
+    assert level == {i: i for i in range(201)}
+    least = dict(pairs(traversal.ancestor_labels(g), "id", "label"))
+    assert least[302] == 300 and least[400] == 400 and least[200] == 0 and least[4] == 0
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "SHARE", 20)
+    monkeypatch.setattr(components, "HOT_KEYS", 8)
+    edges = [(1000, i) for i in range(100)] + [(i, 500) for i in range(200, 300)] + [(99, 200), (700, 701)]
+    assert dict(pairs(traversal.wcc(df(spark, edges)), "id", "component")) == {v: 0 if v < 700 or v == 1000 else 700 for e in edges for v in e}
+
+
+def test_sets(spark):
+    rows = spark.range(23).selectExpr("id", "id % 3 k")
+    assert sorted(r["count"] for r in sets.row_split(rows, 5, ["id"]).groupBy("slice").count().collect()) == [4, 4, 5, 5, 5]
+    assert sets.row_split(rows.limit(2), 5, ["id"]).count() == 2
+    a = spark.createDataFrame([(1, 3), (1, 40), (2, 5)], "key long, x long")
+    b = spark.createDataFrame([(1, 3), (2, 5), (3, 0)], "key long, x long")
+    packed = [structure.packed_sets(t, "key", "x") for t in (a, b)]
+    found = {r.key: (r.n_a, r.n_b, r.n_and, r.equal, r.a_empty) for r in sets.bitmap_facts(*packed).collect()}
+    assert found == {1: (2, 1, 1, False, False), 2: (1, 1, 1, True, False), 3: (0, 1, 0, False, True)}
+    assert pairs(sets.bitmap_minus(*packed), "key", "word", "bits") == [(1, 1, 256)]
+
+
+@pytest.mark.parametrize("kind,chunks,tile", [("csr", 1, 256), ("bit", 2, 128), ("csr", 3, 4)])
+def test_tiled_matrices(spark, tmp_path, kind, chunks, tile):
+    edges = sorted({(random.Random(i).randrange(900), random.Random(-i - 1).randrange(900)) for i in range(400)})
+    path = f"file://{tmp_path}/t"
+    tiled.write_tiled(df(spark, edges), path, kind, tile, chunks)
+    assert pairs(tiled.read_tiled(spark, path), "src", "dst") == edges
+    assert sum(r.nnz for r in tiled.stored_tile_stats(spark, path).collect()) == len(edges)
+    with pytest.raises(ValueError):
+        tiled.write_tiled(df(spark, edges), path, "other", tile)
 
 
 def test_packed_sets_and_intersections(spark):
