@@ -7,10 +7,12 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import new_path, shared_dir, stored  # noqa: F401
+from ..storage import file_system, new_path, released, rows_total, shared_dir, stored, stored_with  # noqa: F401
 
 #: Characters of text that a Python step turns into arrays at a time; longer texts go alone.
 SLICE_CHARS = 1 << 21
@@ -21,26 +23,21 @@ def column(df: DataFrame, name: str):
     return df["`" + name.replace("`", "``") + "`"]
 
 
-def text_slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first, texts) of runs of at most ``limit`` characters; null counts as empty."""
-    run: list[str] = []
-    first = size = 0
-    for i, text in enumerate(texts):
-        text = text or ""
-        if run and size + len(text) > limit:
-            yield first, run
-            run, first, size = [], i, 0
-        run.append(text)
-        size += len(text)
-    if run:
-        yield first, run
+def sliced(batches: Iterator[pa.RecordBatch], at: int | str = 1, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts (column ``at``) have at most ``limit`` bytes; longer texts come alone.
 
-
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``."""
+    Nothing is copied, and no text becomes a Python string before its slice is at hand.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0), np.int64)
+        first = have = 0
+        for i, n in enumerate(size.tolist()):
+            if have and have + n > limit:
+                yield batch.slice(first, i - first)
+                first, have = i, 0
+            have += n
+        if first < batch.num_rows:
+            yield batch.slice(first)
 
 
 _SHIPPED: set[str] = set()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import column, text_slices
+from .common import column, sliced
 
 MARK = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
@@ -95,21 +95,21 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     more = [("n_tokens", T.LongType()), *[("ids", T.ArrayType(T.IntegerType()))] * ids, *[("decoded", T.StringType())] * decoded, *[("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] * digests]
     schema = T.StructType(rows.schema.fields[:-1] + [T.StructField(*x) for x in more])
 
+    last = len(rows.columns) - 1
+
     def run(batches):
         chunks = table(model)
         decode = chunks.library.decode
-        for batch in batches:
-            for first, texts in text_slices(batch.column(batch.num_columns - 1).to_pylist(), 1 << 20):
-                found = chunks.encode(texts)
-                out = [c.slice(first, len(texts)) for c in batch.columns[:-1]]
-                out.append(pa.array([len(x) for x in found], pa.int64()))
-                back = [decode(x.tolist()) for x in found] if decoded or digests else []
-                if ids:
-                    out.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
-                if decoded:
-                    out.append(pa.array(back, pa.string()))
-                if digests:
-                    out += [pa.array([hashlib.sha256(x.astype("<u4")).hexdigest() for x in found], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string())]
-                yield pa.RecordBatch.from_arrays(out, names=schema.fieldNames())
+        for batch in sliced(batches, last, 1 << 20):
+            found = chunks.encode([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
+            out = [*batch.columns[:-1], pa.array([len(x) for x in found], pa.int64())]
+            back = [decode(x.tolist()) for x in found] if decoded or digests else []
+            if ids:
+                out.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
+            if decoded:
+                out.append(pa.array(back, pa.string()))
+            if digests:
+                out += [pa.array([hashlib.sha256(x.astype("<u4")).hexdigest() for x in found], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string())]
+            yield pa.RecordBatch.from_arrays(out, names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema)
