@@ -3,7 +3,9 @@
 An Aho-Corasick automaton over the text in ASCII lower case finds all keywords;
 the pattern of the keyword's kind is then tried at that place alone. Every match
 of such a pattern begins with its keyword, so trying the hits in order, past the
-end of the last match, finds what a search of the whole text would. Hexadecimal
+end of the last match, finds what a search of the whole text would. Of patterns
+that read over runs of any length, hits inside a run that has failed are not
+tried again, so the time is linear in the text whatever it holds. Hexadecimal
 runs have no keyword and are searched for directly. Kinds with a checksum or a
 structure inside (``github``, ``npm``, ``jwt``) keep only spans that hold it.
 
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column
+from .common import column, sliced
 
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
 #: Patterns by kind; the first three are the base kinds.
@@ -35,10 +37,15 @@ PATTERNS = {
     "hex": re.compile(r"[0-9a-f]{32,}"),
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"),
+    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]+"),
     # header lines, with the lines that carry them on, may stand before the body
     "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:\s*[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+(?!-----|[A-Za-z][A-Za-z0-9-]*:)\S[^\n]*\n){0,8})*[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"),
 }
+#: What a match that failed has read over: a hit inside it reads on to the same end, and fails there too.
+READ_OVER = {
+    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]++"),
+    "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:\s*[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+(?!-----|[A-Za-z][A-Za-z0-9-]*:)\S[^\n]*\n){0,8})*"),
+}
 #: Keywords, in lower case, that every match of a kind begins with.
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
@@ -100,10 +107,14 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     past = dict.fromkeys(KINDS, 0)
     for last, (kind, size) in _automaton().iter(lower):
         start = last - size + 1
-        if start >= past[kind] and (m := PATTERNS[kind].match(text, start)):
+        if start < past[kind]:
+            continue
+        if m := PATTERNS[kind].match(text, start):
             past[kind] = m.end()
             if holds(kind, m):
                 spans.append((start, m.end(), kind))
+        elif kind in READ_OVER and (run := READ_OVER[kind].match(text, start)):
+            past[kind] = run.end()
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -121,7 +132,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest
     shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             each = [find(t) for t in batch.column(1).to_pylist()]
             if not digests:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in spans] for spans in each], shape)], ["doc_id", "found"])
@@ -155,9 +166,10 @@ def cleaned(text: str | None) -> str | None:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs``, all rows and columns, with secrets in the text column replaced; no shuffle."""
 
+    at = docs.columns.index(text_col)
+
     def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
+        for batch in sliced(batches, at):
             columns = batch.columns
             columns[at] = pa.array(map(cleaned, batch.column(at).to_pylist()), batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
