@@ -18,12 +18,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, sliced
 
 LETTER = re.compile(r"[^\W\d_]")
+#: Characters of a passage that a dictionary takes from a long text.
+PASSAGE = 80
 #: Bytes of a piece, and of piece excess that make a language e times less likely.
 PIECE, TEMPERATURE = 4096, 16.0
 
@@ -31,28 +33,36 @@ PIECE, TEMPERATURE = 4096, 16.0
 def dictionaries(docs: DataFrame, dictionary_bytes: int = 48 << 10, sample_docs: int = 200, lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language from a bounded sample of ``docs``, the rows to learn from.
 
-    Of each language about four times ``sample_docs`` different texts (those whose
-    seeded hash falls lowest; all, where there are fewer) reach the driver as
-    excerpts from a hashed place on, and fill ``dictionary_bytes`` in the order of
-    the hash. Copies count once, in the rate of the sample too.
+    The sample are the ``sample_docs`` different texts of a language whose seeded
+    hash is least (all, where there are fewer); copies count once. Whole texts are
+    sampled: of each one as many equally spaced passages as its share of
+    ``dictionary_bytes`` holds, from its beginning to its end, and all of it where
+    it fits. Of a language, ``sample_docs`` rows and about ``dictionary_bytes`` (as
+    characters) reach the driver. Passages are lower-cased, as texts are.
     """
     rows = docs.select(column(docs, lang_col).cast("string").alias("lang"), column(docs, "text").cast("string").alias("text")).filter("lang is not null and length(text) > 0")
     hashed = rows.withColumn("h", F.xxhash64("text", F.lit(17)))
-    texts = hashed.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect()
-    if not texts:
+    counts = hashed.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect()
+    if not counts:
         return {}
-    counts = {r["lang"]: r["n"] for r in texts}
-    each = max(256, dictionary_bytes * 2 // sample_docs)
+    # a hash falls among the least with this chance; four deviations more than are wanted, so that hardly ever one is lacking
     low = F.lit(None).cast("double")
-    for r in texts:
-        low = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4 * sample_docs / r["different"]))).otherwise(low)
+    for r in counts:
+        low = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, (sample_docs + 4 * sample_docs**0.5 + 8) / r["different"]))).otherwise(low)
     share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
-    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - each, F.lit(0)) + 1).cast("int") + 1
-    found = hashed.filter(share <= low).groupBy("lang", "h").agg(F.min(F.substring("text", start, F.lit(each))).alias("text")).collect()
+    least = Window.partitionBy("lang").orderBy("h")
+    sizes = hashed.filter(share <= low).groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("place", F.row_number().over(least)).filter(F.col("place") <= sample_docs)
+    sizes = sizes.withColumn("of", F.count("*").over(Window.partitionBy("lang")))
+    budget = F.greatest(F.lit(PASSAGE), F.floor(F.lit(dictionary_bytes) / F.col("of"))).cast("int")
+    n = F.greatest(F.lit(1), F.floor(budget / PASSAGE)).cast("int")
+    step = (F.length("text") - PASSAGE) / F.greatest(n - 1, F.lit(1))
+    spaced = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", F.floor(i * step).cast("int") + 1, F.lit(PASSAGE)))
+    kept = F.when(F.length("text") <= budget, F.col("text")).otherwise(F.array_join(spaced, " "))
+    found = sizes.select("lang", "place", F.lower(kept).alias("text")).collect()
     out = {}
-    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        texts = [r["text"] for r in sorted((r for r in found if r["lang"] == lang), key=lambda r: r["h"])]
-        out[lang] = " ".join(texts).encode()[:dictionary_bytes]
+    for r in sorted(counts, key=lambda r: (-r["n"], r["lang"])):
+        texts = [x["text"] for x in sorted((x for x in found if x["lang"] == r["lang"]), key=lambda x: x["place"])]
+        out[r["lang"]] = " ".join(texts).encode()[:dictionary_bytes]
     return out
 
 
@@ -94,7 +104,7 @@ def classify(docs: DataFrame, contents: dict[str, bytes], margin: float = 0.02,
 
     def run(batches):
         compressors = Compressors(contents)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [compressors.classify(t, margin) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())], ["doc_id", "lang_pred", "score", "confident"])
 
