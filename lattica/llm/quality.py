@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cache
 from operator import eq
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column
+from .common import column, sliced
 
 STATISTICS = ("length", "letters", "upper", "digits", "marks", "symbols", "lines", "word_length", "distinct", "repeats", "top_mark")
 #: Characters that a short text is filled up with, so that its rates do not jump.
@@ -34,6 +34,9 @@ PRIOR = 40.0
 SCORE = "__quality_score"
 LETTER, UPPER, DIGIT, SPACE, LINE, MARK, SYMBOL = 1, 2, 4, 8, 16, 32, 64
 
+#: Which of the 128 sets of bits hold each kind: bins of characters times this are the kinds' counts.
+_HAS = np.array([[float(bool(i & bit)) for bit in (LETTER, UPPER, DIGIT, MARK, SYMBOL, LINE)] for i in range(128)])
+
 
 @cache
 def _classes() -> np.ndarray:
@@ -55,8 +58,7 @@ def statistics(text: str) -> list[float]:
     n = len(text)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     counts = np.bincount(_classes()[np.minimum(points, (1 << 17) - 1)], minlength=128)
-    of = lambda bit: float(counts[[i for i in range(128) if i & bit]].sum())
-    letters = of(LETTER)
+    letters, upper, digits, marks, symbols, lines = (counts @ _HAS).tolist()
     words = text.split()
     n_words, distinct = len(words), len(set(words))
     repeats = sum(map(eq, words, words[1:]))
@@ -65,11 +67,11 @@ def statistics(text: str) -> list[float]:
     return [
         np.log1p(n),
         rate(letters, n, 0.8),
-        rate(of(UPPER), letters, 0.02),
-        rate(of(DIGIT), n, 0.01),
-        rate(of(MARK), n, 0.03),
-        rate(of(SYMBOL), n, 0.01),
-        rate(of(LINE), n, 0.01),
+        rate(upper, letters, 0.02),
+        rate(digits, n, 0.01),
+        rate(marks, n, 0.03),
+        rate(symbols, n, 0.01),
+        rate(lines, n, 0.01),
         np.log((n + PRIOR) / (n_words + PRIOR / 6)),
         np.log((distinct + PRIOR / 6) / (n_words + PRIOR / 6)),
         rate(repeats, n_words, 0.01),
@@ -81,7 +83,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id and an array of statistics for each row; no shuffle."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.array([statistics(t or "") for t in batch.column(1).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -100,16 +102,27 @@ class Discriminant:
     mean: dict[int, np.ndarray]
     chol: dict[int, np.ndarray]
     prior: float
+    cached: dict[int, np.ndarray] = field(default_factory=dict, repr=False, compare=False)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if len(self.mean) < 2:
             return np.full(len(x), self.prior)
         gap = np.full(len(x), np.log(self.prior) - np.log1p(-self.prior))
         for label, sign in ((1, 0.5), (0, -0.5)):
-            z = np.linalg.solve(self.chol[label], (x - self.mean[label]).T)
+            z = self._inverse(label) @ (x - self.mean[label]).T
             gap -= sign * ((z * z).sum(0) + 2 * np.log(np.diag(self.chol[label])).sum())
         return 1 / (1 + np.exp(-np.clip(gap, -500, 500)))
 
+    def _inverse(self, label: int) -> np.ndarray:
+        """The inverse of a class's factor, by forward substitution, once a process."""
+        if label not in self.cached:
+            low = self.chol[label]
+            out = np.eye(len(low))
+            for i in range(len(low)):
+                out[i] = (out[i] - low[i, :i] @ out[:i]) / low[i, i]
+            self.cached[label] = out
+        return self.cached[label]
+
     def to_json(self) -> str:
         return json.dumps({"prior": self.prior, "mean": {k: v.tolist() for k, v in self.mean.items()}, "chol": {k: v.tolist() for k, v in self.chol.items()}})
 
@@ -162,9 +175,11 @@ def score_documents(docs: DataFrame, model: Discriminant) -> DataFrame:
     """``docs``, all columns, with the score appended as ``SCORE``, in one pass over the texts."""
     out = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
 
+    at = docs.columns.index("text")
+
     def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        for batch in sliced(batches, at):
+            texts = batch.column(at).to_pylist()
             x = np.array([statistics(t or "") for t in texts], np.float64).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], names=[*batch.schema.names, SCORE])
 
