@@ -1,14 +1,14 @@
 """Token ids in files: entropy-coded shards, and flat files that are scanned for separators.
 
-Coded shard (``write_shards``, ``read_shards``): little-endian, one file per
-partition of the documents in ascending id order::
+Coded shard (``write_shards``, ``read_shards``): little-endian, files that follow
+each other in ascending id order, cut by their number of ids::
 
     magic "LRNS0001" | u64 header length | header (JSON) | tables | blocks
 
 The header gives counts, the lanes' checkpoint and the place, number of ids and
 CRC-32 of each block; the tables hold the alphabet and its frequencies, shared
 by the shard's blocks, and each document's id and number of ids. Any block is
-decoded alone (``read_block``).
+decoded alone (``read_block``), and readers decode all blocks in parallel.
 
 Flat file (``write_flat``, ``scan_flat``): only ids, each document closed by the
 separator, no index.
@@ -26,26 +26,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
 from .bpe import encoder
-from .common import column, new_path, small_batches, stored, text_slices
+from .common import column, file_system, new_path, sliced, stored
 
 MAGIC = b"LRNS0001"
 HEAD = len(MAGIC) + 8
-
-
-def _open(path: str):
-    return fs.FileSystem.from_uri(path)
+#: Ids after which a shard is closed, and bytes of input that make a range of documents of their own.
+SHARD_IDS, RANGE_BYTES = 1 << 24, 1 << 30
+#: Shards of one range are numbered within this many.
+SHARDS = 1 << 24
+#: Partitions that blocks are dealt to at most.
+MOST_TASKS = 20_000
 
 
 def _write(path: str, parts: list[bytes]) -> None:
     """Writes under another name and renames, so a lost task leaves no half file."""
-    files, at = _open(path)
+    files, at = file_system(path)
     files.create_dir(at.rpartition("/")[0], recursive=True)
     with files.open_output_stream(at + ".part") as out:
         for part in parts:
@@ -73,7 +74,7 @@ class Shard:
     """A coded shard open for reading."""
 
     def __init__(self, path: str):
-        files, at = _open(path)
+        files, at = file_system(path)
         self.file = files.open_input_file(at)
         head = self.file.read_at(HEAD, 0)
         if head[: len(MAGIC)] != MAGIC:
@@ -111,59 +112,125 @@ class Shard:
 def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, plain: bool = False) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(doc ids, ids with an end id after each document, numbers of ids) of runs of rows."""
     bpe = encoder(vocabulary, plain)
-    for batch in batches:
-        doc_ids = batch.column(0).to_pylist()
-        for first, texts in text_slices(batch.column(1).to_pylist(), 1 << 18):
-            ids, counts = bpe.encode(texts)
-            ids = np.insert(ids, np.cumsum(counts), end_id)
-            yield doc_ids[first : first + len(texts)], ids, counts + 1
+    for batch in sliced(batches, 1, 1 << 18):
+        ids, counts = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
+        yield batch.column(0).to_pylist(), np.insert(ids, np.cumsum(counts), end_id), counts + 1
+
+
+def ranges_of(docs: DataFrame) -> int:
+    """Ranges that the documents are dealt to: as many as shuffle partitions, and more where the files are large."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # the planner's word for a size that it cannot tell is about 2**63
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES) if known else 1)
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes the texts and writes coded shards under ``path`` in ascending id order.
 
-    Returns the manifest, one row per shard: shard, file, n_docs, n_tokens. A
-    shard is one range partition, so ``spark.sql.shuffle.partitions`` sets its
-    size; a task holds that partition's ids (2 or 4 bytes each) and no more.
+    Returns the manifest, one row per shard: shard, file, n_docs, n_tokens,
+    n_blocks. A task walks a range of the documents and closes a shard after the
+    document with which it holds ``shard_ids`` ids, so it never holds more than
+    those (2 or 4 bytes each, 4 more as symbols, and their code) and a document.
+    Rows of one id are ordered by text and never parted, so a range is as large as its largest id.
     """
 
     def write(batches):
-        doc_ids, ids, counts = [], [], []
-        for names, part, n in _encoded(batches, vocabulary, end_id):
+        doc_ids, ids, counts, held, seq = [], [], [], 0, 0
+        part = TaskContext.get().partitionId()
+
+        def closed():
+            file = f"{path}/shard-{part:06d}-{seq:06d}-{TaskContext.get().taskAttemptId()}.rans"
+            known = np.array([x is not None for x in doc_ids], np.uint8)
+            flat = np.concatenate(ids)
+            _write(file, pack_shard(np.array([x or 0 for x in doc_ids], np.int64), known, np.concatenate(counts), flat))
+            return pa.RecordBatch.from_pydict({"shard": [part * SHARDS + seq], "file": [file], "n_docs": [len(doc_ids)], "n_tokens": [len(flat)], "n_blocks": [-(-len(flat) // rans.BLOCK)]})
+
+        for names, found, n in _encoded(batches, vocabulary, end_id):
             doc_ids += names
-            ids.append(part.astype(np.uint16) if part.max(initial=0) < 1 << 16 else part)
+            ids.append(found.astype(np.uint16) if found.max(initial=0) < 1 << 16 else found)
             counts.append(n)
-        if not doc_ids:
-            return
-        shard = TaskContext.get().partitionId()
-        file = f"{path}/shard-{shard:06d}-{TaskContext.get().taskAttemptId()}.rans"
-        known = np.array([x is not None for x in doc_ids], np.uint8)
-        flat = np.concatenate(ids)
-        _write(file, pack_shard(np.array([x or 0 for x in doc_ids], np.int64), known, np.concatenate(counts), flat))
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [file], "n_docs": [len(doc_ids)], "n_tokens": [len(flat)]})
+            held += len(found)
+            if held >= shard_ids:
+                yield closed()
+                doc_ids, ids, counts, held, seq = [], [], [], 0, seq + 1
+        if doc_ids:
+            yield closed()
 
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(rows.mapInArrow(write, "shard long, file string, n_docs long, n_tokens long"), "manifest")
+    rows = rows.repartitionByRange(ranges_of(rows), "doc_id").sortWithinPartitions("doc_id", "text")
+    return stored(rows.mapInArrow(write, "shard long, file string, n_docs long, n_tokens long, n_blocks long"), "manifest")
+
+
+def crc_joined(first: int, then: int, size: int) -> int:
+    """CRC-32 of two runs of bytes from those of each; the second has ``size`` bytes.
+
+    The first is multiplied by x**(8 * size), modulo the polynomial of the checksum.
+    """
+
+    def times(a: int, b: int) -> int:
+        out, bit = 0, 1 << 31
+        while bit:
+            if a & bit:
+                out ^= b
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+            bit >>= 1
+        return out
+
+    power, square, n = 1 << 31, 1 << 30, 8 * size
+    while n:
+        if n & 1:
+            power = times(power, square)
+        square, n = times(square, square), n >> 1
+    return times(power, first) ^ then
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Decodes the shards: doc_id, start (ids before it in all shards), n_tokens, ids_crc32.
 
-    The manifest has one row per file; only that is summed in one place.
+    Every block is a row of work of its own, decoded from its checkpoint. A document
+    in several blocks gives a piece in each, whose checksums are then joined. The
+    manifest has one row per file; only that is summed in one place.
     """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.select("file", "shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    placed = manifest.select("file", "shard", "n_blocks", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    blocks = placed.select("file", "shard", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    total = manifest.agg(F.sum("n_blocks")).first()[0] or 1
 
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row["file"])
-                crc = [zlib.crc32(np.ascontiguousarray(ids, "<u4")) for ids in shard.documents()]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.doc_ids, mask=shard.known == 0), "start": row["base"] + np.cumsum(shard.counts) - shard.counts, "n_tokens": shard.counts, "ids_crc32": np.array(crc, np.int64)})
-
-    n = max(1, manifest.count())
-    return placed.repartition(n, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                low, ids = shard.header["blocks"][row["block"]]["first"], shard.read_block(row["block"]).astype("<u4")
+                ends = np.cumsum(shard.counts)
+                starts = ends - shard.counts
+                own = np.arange(np.searchsorted(ends, low, "right"), np.searchsorted(starts, low + len(ids), "left"))
+                first, last = np.maximum(starts[own], low), np.minimum(ends[own], low + len(ids))
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip((first - low).tolist(), (last - low).tolist())]
+                yield pa.RecordBatch.from_pydict({"shard": np.full(len(own), row["shard"]), "doc": own, "doc_id": pa.array(shard.doc_ids[own], mask=shard.known[own] == 0), "start": row["base"] + starts[own], "n_tokens": shard.counts[own], "first": first, "n": last - first, "crc": np.array(crc, np.int64)})
+
+    def joined(batches):
+        now = None
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                if now and (now["shard"], now["doc"]) == (row["shard"], row["doc"]):
+                    now["crc"] = crc_joined(now["crc"], row["crc"], 4 * row["n"])
+                    continue
+                done += [now] if now else []
+                now = row
+            if done:
+                yield finished(done)
+        if now:
+            yield finished([now])
+
+    def finished(rows):
+        return pa.RecordBatch.from_pydict({to: pa.array([r[c] for r in rows], pa.int64()) for c, to in (("doc_id", "doc_id"), ("start", "start"), ("n_tokens", "n_tokens"), ("crc", "ids_crc32"))})
+
+    dealt = blocks.repartitionByRange(max(1, min(total, MOST_TASKS)), "shard", "block")
+    pieces = stored(dealt.mapInArrow(read, "shard long, doc long, doc_id long, start long, n_tokens long, first long, n long, crc long"), "pieces")
+    whole = pieces.filter("n = n_tokens").select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+    parts = pieces.filter("n < n_tokens").repartition("shard", "doc").sortWithinPartitions("shard", "doc", "first")
+    return whole.unionByName(parts.mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def read_blocks(manifest: DataFrame) -> DataFrame:
@@ -201,7 +268,7 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, end_id: int, width:
             if np.count_nonzero(ids == end_id) != len(counts) or ids.max(initial=0) >> 8 * width:
                 raise ValueError("a text holds the separator, or an id is too wide")
             if out is None:
-                files, at = _open(name)
+                files, at = file_system(name)
                 files.create_dir(at.rpartition("/")[0], recursive=True)
                 out = files.open_output_stream(at)
             out.write(ids.astype(f"<u{width}").tobytes())
@@ -230,13 +297,13 @@ def scan_flat(files: DataFrame, end_id: int, width: int = 2, block_bytes: int =
     def places(batches):
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                where, at = _open(name)
+                where, at = file_system(name)
                 size = where.get_file_info(at).size
                 n = -(-size // block_bytes)
                 yield pa.RecordBatch.from_pydict({"file": pa.array([name] * n, pa.string()), "block": np.arange(n), "last": np.arange(n) == n - 1})
 
     def found(name: str, block: int) -> tuple[np.ndarray, int]:
-        where, at = _open(name)
+        where, at = file_system(name)
         with where.open_input_file(at) as source:
             ids = np.frombuffer(source.read_at(block_bytes, block * block_bytes), f"<u{width}")
         return np.flatnonzero(ids == end_id), len(ids)
