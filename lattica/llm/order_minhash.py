@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, sliced
 
 K, HASHES, COLUMNS = 8, 96, 4096
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -107,7 +107,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """doc_id and fingerprint (4 hex digits a tuple) of each row; no shuffle."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hexed(fingerprint(t or "")) for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
@@ -158,7 +158,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def compared(batches):
         bucket, following, text_before = None, None, ""
-        for batch in batches:
+        for batch in sliced(batches, 3):
             out = []
             for b, halo, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 signature = fingerprint(text)
@@ -175,6 +175,6 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    placed = rows.mapInArrow(dealt, "bucket long, halo boolean, doc_id long, text string").repartition(n, "bucket")
+    placed = rows.mapInArrow(dealt, "bucket long, halo boolean, doc_id long, text string").repartitionByRange(n, "bucket")
     ordered = placed.sortWithinPartitions("bucket", F.desc("halo"), F.asc_nulls_first("doc_id"), "text")
     return ordered.mapInArrow(compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
