@@ -18,6 +18,11 @@ more than one component, all its pairs between components are compared in blocks
 by sketches and then by the full sets. No list is cut short and no pair of a
 group is written out unless it is a link.
 
+Below 80 per cent sets are sure of shorter runs only: lists are kept for pairs of
+values from 70 per cent on, and for single values below. With a full sketch of 64
+the chance that two sets share no value at all is (1 - similarity) ** 64, so under
+20 per cent links begin to be missed. Lists grow as the threshold falls.
+
 Defined results: a null text, or one without words, has an empty set, is linked
 with nothing and keeps its own id; a text of fewer words than the width is one
 shingle; rows with equal ids are one document for links; a row with a null id is
@@ -33,44 +38,56 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import blocks
-from .common import column, stored, text_slices
+from .common import column, sliced, stored
 from .forest import Forest
 from .order_minhash import mixed
 from .shingles import shingle_set
 
 SKETCH, RUNS = 64, 40
-#: An estimate from a full sketch may be this far below the similarity (six deviations at 0.8).
-SLACK = 0.30
 #: Classes of a block, where all pairs of a group are compared.
 BLOCK = 512
-#: log2 of the bits of the filter for documents whose sets are needed: a fixed half a megabyte.
-FILTER_BITS = 22
+#: Documents whose sets are needed, and of which a bitmap of eight bits each (16 MB at most) goes to the tasks.
+FILTER_IDS = 1 << 24
+
+
+def slack(percent: int) -> float:
+    """How far below the similarity an estimate from a full sketch may be: six deviations."""
+    share = percent / 100
+    return 6 * (share * (1 - share) / SKETCH) ** 0.5
+
+
+def run_length(percent: int) -> int:
+    """Values of a run: as many as sets of this similarity are sure to share in a row.
+
+    With s shared values for each m that are not, some run has s / (m + 1) or more.
+    """
+    return 3 if percent >= 80 else 2 if percent >= 70 else 1
 
 
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n (size of the set), c1 and c2 (128 bits that equal sets share) and sketch of each row."""
 
     def run(batches):
-        for batch in batches:
-            ids, at = batch.column(0), 0
-            for _, texts in text_slices(batch.column(1).to_pylist()):
-                sets = [shingle_set(t, width) for t in texts]
-                marks = np.array([[mixed(s).sum(), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum()] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "c1", "c2", "sketch"])
-                at += len(texts)
+        for batch in sliced(batches):
+            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            marks = np.array([[mixed(s).sum(), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum()] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "c1", "c2", "sketch"])
 
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>")
 
 
-def inverted_lists(reps: DataFrame) -> DataFrame:
+def inverted_lists(reps: DataFrame, percent: int = 80) -> DataFrame:
     """value, id, least: which classes retain a run, and the least of them; runs of one class alone are left out."""
-    at = lambda i, j: F.get("sketch", i + j)
-    runs = F.transform(F.sequence(F.lit(0), F.least(F.size("sketch") - 3, F.when(F.col("n") > SKETCH, F.lit(RUNS - 1)).otherwise(F.lit(SKETCH)))), lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2)))
-    twos = F.transform(F.sequence(F.lit(0), F.size("sketch") - 2), lambda i: F.xxhash64(at(i, 0), at(i, 1)))
-    keys = F.when(F.col("n").isin(4, 5), F.concat(runs, twos)).otherwise(runs)
-    # sets of fewer than four elements are similar only if equal, and then they are one class
-    rows = reps.filter("n > 3").select("id", F.explode(keys).alias("value"))
+    length = run_length(percent)
+    run = lambda i, n: F.xxhash64(*[F.get("sketch", i + j) for j in range(n)])
+    last = F.least(F.size("sketch") - length, F.when(F.col("n") > SKETCH, F.lit(RUNS - 1 if length == 3 else SKETCH)).otherwise(F.lit(SKETCH)))
+    keys = F.transform(F.sequence(F.lit(0), last), lambda i: run(i, length))
+    if length == 3:  # sets of four and five, of which one value differs, are sure of two in a row only
+        twos = F.transform(F.sequence(F.lit(0), F.size("sketch") - 2), lambda i: run(i, 2))
+        keys = F.when(F.col("n").isin(4, 5), F.concat(keys, twos)).otherwise(keys)
+    # sets too small to have a run and differ at this similarity are similar only if equal, and then they are one class
+    rows = reps.filter(F.col("n") >= (4 if length == 3 else length)).select("id", F.explode(keys).alias("value"))
     least = rows.groupBy("value").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     return rows.join(least.select("value", "least"), "value").select("value", "id", "least")
 
@@ -88,11 +105,11 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 a, b = (np.asarray(s[i].values).view(np.uint64) for s in (sa, sb))
                 union = np.union1d(a, b)
                 if len(a) == SKETCH or len(b) == SKETCH:
-                    union, slack = union[:SKETCH], SLACK
+                    union, below = union[:SKETCH], slack(percent)
                 else:
-                    slack = 0.0
+                    below = 0.0
                 shared = np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)
-                keep.append(shared.sum() >= (percent / 100 - slack) * len(union) - 1e-9)
+                keep.append(shared.sum() >= (percent / 100 - below) * len(union) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -101,23 +118,28 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _sets_of(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """id, set (its hashes as bytes) of the documents in ``ids``; texts are not shuffled.
 
-    A bitmap of fixed size, made of the hashed ids, goes to every task; the few
-    others it lets through do no harm.
+    Up to ``FILTER_IDS`` of them a bitmap of the hashed ids goes to every task, and
+    the few others it lets through do no harm; of more, the texts are joined.
     """
-    place = F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1)
-    words = ids.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast((xxhash64(id) & {(1 << FILTER_BITS) - 1}) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for w, bits in words:
-        bitmap[w] = bits
+    of = lambda own, texts: pa.RecordBatch.from_arrays([own, pa.array([shingle_set(t, width).tobytes() for t in texts.to_pylist()], pa.binary())], ["id", "set"])
+    n = ids.count()
+    rows = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text")).filter("id is not null")
+    if n > FILTER_IDS:
+        return rows.join(ids, "id", "left_semi").mapInArrow(lambda batches: (of(part.column(0), part.column(1)) for part in sliced(batches)), "id long, set binary")
+    bits = max(16, (8 * n).bit_length())
+    place = F.xxhash64("id").bitwiseAND((1 << bits) - 1)
+    words = ids.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast((xxhash64(id) & {(1 << bits) - 1}) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    for w, found in words.toLocalIterator():
+        bitmap[w] = found
 
     def run(batches):
         for batch in batches:
-            place = np.asarray(batch.column(1))
-            hit = np.flatnonzero(bitmap[place >> 6] >> (place & 63) & 1)
-            texts = batch.column(2).take(pa.array(hit)).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array([shingle_set(t, width).tobytes() for t in texts], pa.binary())], ["id", "set"])
+            at = np.asarray(batch.column(1))
+            hit = batch.take(pa.array(np.flatnonzero(bitmap[at >> 6] >> (at & 63) & 1)))
+            for part in sliced([hit], 2):
+                yield of(part.column(0), part.column(2))
 
-    rows = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text")).filter("id is not null")
     return rows.select("id", place.alias("place"), "text").mapInArrow(run, "id long, set binary")
 
 
@@ -145,13 +167,13 @@ def joining(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links), kept (it is the least) for each row."""
-    if percent < 80:
-        raise ValueError("runs of three values are sure to be shared at 80 per cent and more only")
+    if not 0 < percent <= 100:
+        raise ValueError("a similarity is a share of 100")
     every = stored(sketches(docs, width, id_col, text_col), "sketches")
     classes = every.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("id"))
     found = every.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "c1", "c2", "n", "sketch")
     reps = stored(found.join(classes, ["id", "c1", "c2", "n"], "left_semi").dropDuplicates(["id", "c1", "c2"]).select("id", "n", "sketch"), "classes")
-    lists = stored(inverted_lists(reps), "lists")
+    lists = stored(inverted_lists(reps, percent), "lists")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return _sets_of(docs, ids, width, id_col, text_col).join(ids, "id", "left_semi").dropDuplicates(["id", "set"])
@@ -160,7 +182,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         """Links between components of a group: by sketches first, then on the full sets of what they leave."""
         sketched = rest.join(reps.select("id", "n", F.col("sketch").alias("set")), "id")
         each = lambda c: [np.asarray(x.values).view(np.uint64) for x in c]
-        chance = lambda shared, n, m: (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (shared >= (percent / 100 - SLACK) * np.minimum(SKETCH, np.minimum(n, m)))
+        chance = lambda shared, n, m: (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (shared >= (percent / 100 - slack(percent)) * np.minimum(SKETCH, np.minimum(n, m)))
         both = lambda a, b: [pa.array(np.unique(np.concatenate([a, b])))]
         left = blocks.compared(blocks.dealt(sketched, "leader", BLOCK), "leader", each, chance, both, "id long", ["id"]).distinct()
         left = stored(left, "rest-ids")
@@ -172,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         """Links among the candidate pairs; texts are read again only where an estimate asks for it."""
         chances = stored(likely(pairs, reps, percent), name)
-        ids = chances.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = stored(chances.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name + "-ids")
         return stored(verified(chances, stored(sets_of(ids), name + "-sets"), percent), name + "-links")
 
     links = checked(lists.filter("least < id").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "star")
