@@ -11,12 +11,12 @@ nearest to the gap there fills it (its repeated rows with it).
 Size is the number of words ``[^\\x20\\x09-\\x0D]+`` (null text: 0). A null source
 is a source of its own; null in a pattern likewise; a row with no source at all
 is never taken. Documents of size 0 are taken 0 times. Rows that repeat count
-each for itself; the seed and the id decide the order, so reruns agree.
+each for itself; the seed, the id and the text decide the order, so reruns agree.
 
-Only sums by pattern reach the driver; documents never do. Patterns of several
-sources are solved there together (``max_patterns`` at most, else it raises); a
-source that stands alone in its pattern gives what its quota asks for, so of
-such sources there may be any number, one row of the driver each. Where a pattern's cut lies is found by three rounds
+Only sums by pattern reach the driver, one row each; documents never do. Patterns
+of several sources are solved there together, in any number, in about half a
+kilobyte of the driver each; a source that stands alone in its pattern gives what
+its quota asks for, without a network. Where a pattern's cut lies is found by three rounds
 of sums over 256 ranges of the seeded hash, so a pattern may hold any share of
 the rows.
 """
@@ -34,7 +34,7 @@ from .common import column, stored
 #: Fixed value: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS, BITS = 3, 8
-#: Patterns of several sources at most, and patterns that are broadcast.
+#: Patterns that are broadcast at most.
 MAX_PATTERNS = 10_000
 
 
@@ -42,8 +42,9 @@ def sized(docs: DataFrame, sources: Column, seed: int, id_col: str = "doc_id", t
     """Every row's id, sources (sorted), size and seeded hash; with ``keep`` all columns of the row beside."""
     size = F.coalesce(F.regexp_count(column(docs, text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     own = [F.struct(*[column(docs, c) for c in docs.columns]).alias("row")] * keep
-    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.array_sort(F.array_distinct(sources)).alias("sources"), size.alias("size"), *own)
-    return rows.withColumn("place", F.xxhash64("doc_id", F.lit(seed)))
+    # the text is hashed too, so that rows without an id, or of one id, do not all fall in one place
+    place = F.xxhash64(column(docs, id_col).cast("long"), column(docs, text_col).cast("string"), F.lit(seed))
+    return docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.array_sort(F.array_distinct(sources)).alias("sources"), size.alias("size"), *own, place.alias("place"))
 
 
 def shares(sizes: dict, weights: dict, repeats: int = 3) -> dict:
@@ -66,47 +67,69 @@ def shares(sizes: dict, weights: dict, repeats: int = 3) -> dict:
 def least_cost_flow(patterns: dict[tuple, int], quotas: dict, repeats: int = 3) -> dict[tuple, int]:
     """Words that each pattern gives, in the cheapest of the greatest flows.
 
-    Successive shortest paths: start -> pattern (one arc a repetition, at costs
-    0, 1, 3, 6, ...) -> source -> end.
+    Arcs: start -> pattern (one a repetition, at costs 0, 1, 3, 6, ...) -> source
+    -> end. A path that adds to the flow leaves the start once and all further
+    arcs are free, so it costs what its repetition costs: the least-cost flow is
+    the greatest flow over first repetitions, then what second ones can add, and
+    so on. Each is found by blocking flows along shortest paths.
     """
     names = [*patterns, *quotas]
-    node = {("p", p): i + 2 for i, p in enumerate(patterns)} | {("s", s): i + 2 + len(patterns) for i, s in enumerate(quotas)}
-    arcs: list[list] = []  # [to, capacity left, cost]; the arc back follows
+    source = {s: i + 2 + len(patterns) for i, s in enumerate(quotas)}
     leaving: list[list[int]] = [[] for _ in range(len(names) + 2)]
+    to, left = [], []  # an arc and its way back are neighbours
 
-    def arc(a: int, b: int, capacity: int, cost: int) -> int:
-        for x, y, c, w in ((a, b, capacity, cost), (b, a, 0, -cost)):
-            leaving[x].append(len(arcs))
-            arcs.append([y, c, w])
-        return len(arcs) - 2
+    def arc(a: int, b: int, capacity: int) -> int:
+        for x, y, c in ((a, b, capacity), (b, a, 0)):
+            leaving[x].append(len(to))
+            to.append(y)
+            left.append(c)
+        return len(to) - 2
 
-    given = {}
-    for p, words in patterns.items():
-        given[p] = [arc(0, node["p", p], words, r * (r + 1) // 2) for r in range(repeats)]
+    for i, (p, words) in enumerate(patterns.items()):
         for s in p:
-            if s in quotas:
-                arc(node["p", p], node["s", s], repeats * words, 0)
+            if s in source:
+                arc(i + 2, source[s], repeats * words)
     for s, quota in quotas.items():
-        arc(node["s", s], 1, quota, 0)
-    while True:
-        cost, by, waiting = {0: 0}, {}, deque([0])
-        while waiting:
-            a = waiting.popleft()
-            for k in leaving[a]:
-                b, left, price = arcs[k]
-                if left and cost[a] + price < cost.get(b, np.inf):
-                    cost[b], by[b] = cost[a] + price, k
-                    waiting.append(b)
-        if 1 not in by:
-            return {p: sum(arcs[k + 1][1] for k in ks) for p, ks in given.items()}
-        path, at = [], 1
-        while at:
-            path.append(by[at])
-            at = arcs[by[at] ^ 1][0]
-        amount = min(arcs[k][1] for k in path)
-        for k in path:
-            arcs[k][1] -= amount
-            arcs[k ^ 1][1] += amount
+        arc(source[s], 1, quota)
+    given = [[] for _ in patterns]
+    for _ in range(repeats):
+        for i, words in enumerate(patterns.values()):
+            given[i].append(arc(0, i + 2, words))
+        while True:
+            depth, queue = {0: 0}, deque([0])
+            while queue:
+                a = queue.popleft()
+                for k in leaving[a]:
+                    if left[k] and to[k] not in depth:
+                        depth[to[k]] = depth[a] + 1
+                        queue.append(to[k])
+            if 1 not in depth:
+                break
+            tried, path, at = [0] * len(leaving), [], 0
+            while True:
+                if at == 1:
+                    amount = min(left[k] for k in path)
+                    for k in path:
+                        left[k] -= amount
+                        left[k ^ 1] += amount
+                    cut = next(i for i, k in enumerate(path) if not left[k])
+                    at = to[path[cut] ^ 1]
+                    del path[cut:]
+                while tried[at] < len(leaving[at]):
+                    k = leaving[at][tried[at]]
+                    if left[k] and depth.get(to[k]) == depth[at] + 1:
+                        break
+                    tried[at] += 1
+                if tried[at] < len(leaving[at]):
+                    path.append(k)
+                    at = to[k]
+                elif path:
+                    k = path.pop()
+                    at = to[k ^ 1]
+                    tried[at] += 1
+                else:
+                    break
+    return {p: sum(left[k ^ 1] for k in ks) for p, ks in zip(patterns, given)}
 
 
 def given_words(patterns: dict[tuple, int], quotas: dict, repeats: int = 3) -> dict[tuple, int]:
@@ -117,10 +140,8 @@ def given_words(patterns: dict[tuple, int], quotas: dict, repeats: int = 3) -> d
     return alone | (least_cost_flow(bound, {s: q for s, q in quotas.items() if s in shared}, repeats) if bound else {})
 
 
-def pattern_sizes(rows: DataFrame, max_patterns: int = MAX_PATTERNS) -> dict[tuple, int]:
+def pattern_sizes(rows: DataFrame) -> dict[tuple, int]:
     sizes = stored(rows.groupBy("sources").agg(F.sum("size").alias("size")), "patterns")
-    if sizes.filter(F.size("sources") > 1).count() > max_patterns:
-        raise ValueError(f"over {max_patterns} membership patterns of several sources")
     return {tuple(r["sources"] or ()): r["size"] for r in sizes.collect()}
 
 
