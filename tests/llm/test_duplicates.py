@@ -36,14 +36,14 @@ class Groups:
         self.up[b] = a
 
 
-def brute(rows, width):
+def brute(rows, width, percent=80):
     sets = {i: plain_set(t, width) for i, t in rows if i is not None}
     groups = Groups(sets)
     ids = sorted(sets)
     for x, a in enumerate(ids):
         for b in ids[:x]:
             n = len(sets[a] & sets[b])
-            if n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            if n and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
                 groups.tie(a, b)
     return {i: (len(sets[i]), groups.root(i), groups.root(i) == i) for i in ids}
 
@@ -107,7 +107,7 @@ def test_sketches_pass_what_may_reach_the_threshold(spark):
     assert len(set(union) & set(rows[0][2]) & set(rows[1][2])) == 33
     reps = spark.createDataFrame(rows, "id long, n long, sketch array<long>")
     assert near_duplicates.likely(spark.createDataFrame([(1, 2)], "a long, b long"), reps, 80).count() == 1
-    need = math.ceil((0.8 - near_duplicates.SLACK) * near_duplicates.SKETCH - 1e-9)
+    need = math.ceil((0.8 - near_duplicates.slack(80)) * near_duplicates.SKETCH - 1e-9)
     assert sum(math.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(need)) < 1e-7
 
 
@@ -121,7 +121,28 @@ def test_edges_of_near_duplicates(spark):
     kept = near_duplicates.one_row_an_id(frame).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["5", "6", "7", "8", "9", "None"]
     with pytest.raises(ValueError):
-        near_duplicates.near_duplicates(frame, 2, percent=70)
+        near_duplicates.near_duplicates(frame, 2, percent=0)
+
+
+@pytest.mark.parametrize("percent", [95, 70, 40])
+def test_other_thresholds(spark, percent):
+    rows = corpus(6)[:170]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(near_duplicates.near_duplicates(frame, 2, percent)) == brute(rows, 2, percent)
+
+
+def test_every_order_of_sets_shares_a_run_below_80():
+    for union in range(1, 15):
+        for gaps in range(1, 1 << union):
+            missing = bin(gaps).count("1")
+            if missing < union and 100 * (union - missing) >= 70 * union:
+                assert max(map(len, bin(gaps)[2:].zfill(union).split("1"))) >= near_duplicates.run_length(70)
+
+
+def test_sets_of_more_documents_than_a_bitmap_takes(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "FILTER_IDS", 3)
+    rows = corpus(7)[:100]
+    assert found(near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)) == brute(rows, 2)
 
 
 def test_word_hashes():
@@ -165,6 +186,25 @@ def test_vectors(spark, window):
     assert sorted(str((r.vec_id, r.n_links, r.component_id, r.kept)) for r in out) == brute_vectors(rows)
 
 
+def test_windows_across_short_partitions(spark):
+    """All vectors of one key in many partitions of a row or none: the windows go on from one to the next."""
+    rng = np.random.default_rng(2)
+    rows = (np.ones(8) + rng.standard_normal((30, 8)) * 0.01).tolist()
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    packed = embedding_duplicates.packed(frame, "vec_id", "embedding").selectExpr("0L pass", "dim", "0L key", "id", "data").repartition(64, "id").sortWithinPartitions("id")
+    links = {frozenset((r.a, r.b)) for r in embedding_duplicates.window_links(packed, 3, 0.9).collect()}
+    up = Groups(range(30))
+    for a, b in map(sorted, links):
+        up.tie(a, b)
+    assert len({up.root(i) for i in range(30)}) == 1
+
+
+def test_packed_vectors_are_exact():
+    for x in ([0.5, 1.25, -3.0], [0.1, 1 / 3, 7e-9], [1e300, 1.0]):
+        with np.errstate(over="ignore"):
+            assert embedding_duplicates._unpacked(embedding_duplicates._packed(np.array(x))).tolist() == x
+
+
 def test_no_vectors(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_duplicates.near_duplicate_vectors(frame).count() == 0

@@ -63,7 +63,9 @@ def test_odd_rows(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         for frame in (before, before.limit(0)):
             out = stage(spark, frame, SMALL)
-            assert out.count() <= 3 * max(1, frame.count())
+            n, had = out.count(), frame.count()
+            assert (n == had) if stage in (corpus_pipeline.secret_stage, corpus_pipeline.encoding_stage) else n <= 3 * had
+            assert had or not n
         before = stored(stage(spark, before, SMALL), "stage")
     assert corpus_pipeline.near_duplicate_stage(spark, odd, SMALL).filter(F.col("doc_id").isNull()).count() == 1
     assert sentence_pieces.encode_documents(odd, PIECES).count() == odd.count()

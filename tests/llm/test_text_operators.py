@@ -6,6 +6,8 @@ import itertools
 import json
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from lattica.llm import language, mixing, order_minhash, quality, secrets, sentence_pieces
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-DATA = "/root/testdata/sf0.01"
+DATA, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 def docs(spark, texts, ids=None):
@@ -92,7 +94,33 @@ def test_private_keys_with_headers(kind, head):
     assert not any(kind == "pem" for _, _, kind in secrets.find(f"-----BEGIN {kind}-----\n" + "  a-b: c, d\n  e - f\n" * 5000))
 
 
+@pytest.mark.parametrize("text", ["eyJ" * 1_000_000, "eyJ.eyJ" * 200_000, "X: -----BEGIN PRIVATE KEY-----\n" * 50_000, "-----BEGIN " * 200_000, "password" * 300_000, "AKIA" * 500_000])
+def test_time_is_linear(text):
+    began = time.perf_counter()
+    secrets.find(text)
+    assert time.perf_counter() - began < 6
+
+
+def test_runs_that_fail_hide_nothing():
+    """Skipping what a failed match has read over finds what trying every hit finds."""
+    rng = random.Random(7)
+    part = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+    bits = ["eyJ", "eyJhIjox", ".", part({"a": 1}), part({"b": 2}) + ".x", " ", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "\n", "A: b\n", "abcd", " c: d\n", "\tx\n"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        for kind, word in (("jwt", "eyJ"), ("pem", "-----BEGIN ")):
+            plain, past = [], 0
+            for m in re.finditer(re.escape(word), text):
+                if m.start() >= past and (found := secrets.PATTERNS[kind].match(text, m.start())):
+                    past = found.end()
+                    plain += [(m.start(), past, kind)] * secrets.holds(kind, found)
+            assert [s for s in secrets.find(text) if s[2] == kind] == plain, text
+
+
 def test_secret_columns(spark):
+    clash = spark.createDataFrame([(1, "token = abcdefgh", 5, "x", "y")], "doc_id long, text string, n_assign int, spans string, found string")
+    assert secrets.scan(clash, digests=True).columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert secrets.redact(clash).first() == (1, "[assign]", 5, "x", "y")
     rows = docs(spark, ["token = abcdefgh", None, "", "token = abcdefgh"], [1, 2, None, 1])
     found = secrets.scan(rows, digests=True)
     assert sorted((r.doc_id or 0, r.n_assign, r.spans) for r in found.collect()) == [(0, 0, ""), (1, 1, "assign:0:16"), (1, 1, "assign:0:16"), (2, 0, "")]
@@ -151,12 +179,75 @@ def test_language_edges(spark):
 
 
 def test_language_samples_different_texts(spark):
-    copies = [(f"only text number {i} of its language", f"l{i}") for i in range(5) for _ in range(1000)]
+    copies = [(f"Only text number {i} of its language", f"l{i}") for i in range(5) for _ in range(1000)]
     contents = language.dictionaries(spark.createDataFrame(copies, "text string, lang string"), sample_docs=2)
     assert contents == {f"l{i}": f"only text number {i} of its language".encode() for i in range(5)}
+    # whole texts are learned from: past a long shared beginning, up to the end
     header = "the licence text in front " * 40
-    bodies = spark.createDataFrame([(header + f"own{i} " * 400, "en") for i in range(60)], "text string, lang string")
-    assert sum(f"own{i} ".encode() in language.dictionaries(bodies)["en"] for i in range(60)) > 30
+    bodies = spark.createDataFrame([(header + f"own{i} " * 400 + f"end{i}.", "en") for i in range(60)], "text string, lang string")
+    learned = language.dictionaries(bodies)["en"]
+    assert sum(f"own{i} ".encode() in learned for i in range(60)) == 60 and sum(f"end{i}.".encode() in learned for i in range(60)) == 60
+    some = language.dictionaries(bodies, sample_docs=5)["en"]
+    assert sum(f"end{i}.".encode() in some for i in range(60)) == 5
+
+
+def test_language_as_a_plain_loop(spark):
+    """Every dictionary tried on every text, at both levels, without the operator's classes."""
+    import zstandard as z
+
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet")
+    contents = language.dictionaries(rows.filter(quality.fold(rows["doc_id"]) != 0))
+    assert all(c == c.lower() for c in contents.values()) and all(len(c) <= 48 << 10 for c in contents.values())
+
+    def size(text, lang, level):
+        d = z.ZstdCompressionDict(contents[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        c = z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        data = text.lower().encode()
+        return sum(len(c.compress(data[i : i + 4096])) for i in range(0, len(data), 4096))
+
+    found = {r.doc_id: r for r in language.classify(rows, contents).collect()}
+    for r in rows.limit(60).collect():
+        if not r.text or not re.search(r"[^\W\d_]", r.text):
+            assert found[r.doc_id].lang_pred == "und"
+            continue
+        for level in (6, 12):
+            sizes = [size(r.text, lang, level) for lang in contents]
+            best, second = sorted(sizes)[:2]
+            if second - best >= 0.02 * best:
+                break
+        assert found[r.doc_id].lang_pred == list(contents)[sizes.index(best)] and found[r.doc_id].confident == (second - best >= 0.02 * best)
+
+
+def test_language_tie_goes_to_the_first():
+    same = b"one text that both languages have " * 20
+    both = language.Compressors({"b": same, "a": same})
+    assert both.classify("one text that both languages have", 0.02) == ("b", 0.5, False)
+
+
+def test_quality_as_plain_numpy(spark):
+    """The discriminant from its definition: inverses and determinants of shrunk covariances."""
+    from lattica.llm.queries import op2_quality
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    x = {i: np.array(quality.statistics(t)) for i, t in texts.items()}
+    marks = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    of = {y: np.array([x[i] for i, q in marks if q == y and i in x]) for y in (0, 1)}
+    cov = {y: np.cov(of[y].T, bias=True) for y in of}
+    n = {y: len(of[y]) for y in of}
+    pooled = sum(n[y] * cov[y] for y in of) / sum(n.values())
+
+    def density(v, y):
+        s = 0.9 * cov[y] + 0.1 * pooled
+        s = 0.9 * s + 0.1 * np.diag(np.diag(s)) + 1e-4 * np.eye(len(s))
+        d = v - of[y].mean(0)
+        return np.log(n[y]) - (d @ np.linalg.inv(s) @ d + np.linalg.slogdet(s)[1]) / 2
+
+    rows = op2_quality(spark, SMALL).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        gap = np.clip(density(x[r.doc_id], 1) - density(x[r.doc_id], 0), -500, 500)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-gap)), abs=1e-6) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
 # -- order min-hash -----------------------------------------------------------
@@ -267,8 +358,21 @@ def test_mix_of_many_sources(spark):
     got = {r.sources[0]: r.size * r.times for r in out.collect()}
     assert len(got) == len(sizes) == 10_050
     assert all(abs(got[s] - target) <= 5 for s, target in targets.items())
-    with pytest.raises(ValueError):
-        mixing.pattern_sizes(spark.createDataFrame([(["a", "b"], 1), (["a"], 1), (["b", "c"], 2)], "sources array<string>, size long"), max_patterns=1)
+
+
+def test_flow_over_many_patterns():
+    rng = random.Random(8)
+    names = [f"s{i}" for i in range(60)]
+    patterns = {tuple(sorted(rng.sample(names, rng.choice([2, 3])))): rng.randrange(1, 50) for _ in range(20_000)}
+    quotas = {s: rng.randrange(1, 30_000) for s in names}
+    given = mixing.least_cost_flow(patterns, quotas, 3)
+    assert all(0 <= given[p] <= 3 * n for p, n in patterns.items())
+    assert sum(given.values()) == min(sum(quotas.values()), 3 * sum(patterns.values()))
+
+
+def test_rows_without_ids_are_spread(spark):
+    frame = spark.range(500).selectExpr("cast(null as long) doc_id", "concat('w ', id) text", "'s' source")
+    assert mixing.sized(frame, F.array("source"), 1).select("place").distinct().count() == 500
 
 
 def test_mix(spark):
@@ -298,3 +402,59 @@ def test_mix_of_overlapping_sources(spark):
     assert sizes == {"a": 3000, "b": 1000} and sum(targets.values()) == pytest.approx(4000)
     got = {tuple(r.sources): r.n for r in out.groupBy("sources").agg(F.sum(F.col("size") * F.col("times")).alias("n")).collect()}
     assert abs(sum(got.values()) - 4000) <= 20 and got["a", "b"] >= 2980
+
+
+# -- the registered queries over whole small tables ---------------------------
+
+
+def test_registered_queries(spark):
+    """op1, op5, op6, op7, op8 and op10 against the libraries and plain Python."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from lattica.llm import queries
+
+    rows = [(r.doc_id, r.text or "", r.source) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    rows.sort()
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    start, expected = 0, {}
+    for i, text, _ in rows:
+        ids = [*bpe.encode(text, add_special_tokens=False).ids, 2]
+        expected[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op1_token_binary(spark, SMALL).collect()} == expected
+    bpe.encode_special_tokens = True
+    assert {r.doc_id: r.n_tokens for r in queries.op10_token_counts(spark, SMALL).collect()} == {i: len(bpe.encode(t, add_special_tokens=False).ids) + 1 for i, t, _ in rows}
+    pieces, got = sentencepiece.SentencePieceProcessor(model_file=PIECES), {r.doc_id: r for r in queries.op7_sentencepiece(spark, SMALL).collect()}
+    for i, text, _ in rows:
+        ids = pieces.encode(text, add_bos=True, add_eos=True)
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(pieces.decode(ids).encode()))
+    got = {r.doc_id: r for r in queries.op8_secrets(spark, SMALL).collect()}
+    for i, text, _ in rows:
+        spans = base(text)
+        line = ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == kind for _, _, k in spans) for kind in ("assign", "access", "hex"))
+        assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest() and set(filter(None, line.split(","))) <= set(got[i].spans.split(","))
+    got, sign = {r.doc_id: r for r in queries.op5_fingerprint(spark, SMALL).collect()}, order_minhash.fingerprint
+    down = rows[::-1]
+    for (i, text, _), (_, following, _) in list(zip(down, down[1:] + down[:1]))[::7]:
+        other = order_minhash.edited(text, following)
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(other.encode()).hexdigest())
+        assert got[i].near_edited == order_minhash.likeness(sign(text), sign(other)) and got[i].near_next == order_minhash.likeness(sign(text), sign(following))
+    got = {r.doc_id: r for r in queries.op6_mixing(spark, SMALL).collect()}
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t, _ in rows}
+    of = {s: sum(size[i] for i, _, x in rows if x == s) for s in {x for _, _, x in rows}}
+    targets = mixing.shares(of, mixing.numbered_weights(of))
+    for i, _, s in rows:
+        assert (got[i].size, got[i].source_size, got[i].target) == (size[i], of[s], pytest.approx(targets[s])) and got[i].taken <= 3 * size[i] and (not size[i] or got[i].taken % size[i] == 0)
+    for s, target in targets.items():
+        assert abs(sum(got[i].taken for i, _, x in rows if x == s) - target) <= max(size.values())
+
+
+def test_edit_likeness_of_odd_tables(spark):
+    rows = [(1, "x " * 300_000, "c"), (None, None, "c"), (None, "a", "c"), (1, "y", "c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string").withColumn("bucket", F.lit(1)).withColumn("halo", F.lit("h"))
+    found = order_minhash.edit_likeness(frame).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in found) == [("1", 1), ("1", 600_000), ("None", 0), ("None", 1)]
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)

@@ -64,6 +64,32 @@ def test_shards_round_trip(spark):
     assert sum(len(r.ids) for r in blocks) == start
 
 
+def test_shards_are_cut_by_ids(spark):
+    many = docs(spark, ["some words here"] * 40 + [None, ""]).coalesce(1)
+    manifest = token_files.write_shards(many, new_path(spark, "c"), BPE, 2, shard_ids=1)
+    assert manifest.count() > 1 and manifest.agg({"n_docs": "sum"}).first()[0] == 42
+    found = sorted((r.start, r.n_tokens) for r in token_files.read_shards(manifest).collect())
+    assert found[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(found, found[1:]))
+
+
+def test_a_document_in_many_blocks_is_put_together(spark, tmp_path):
+    ids = np.random.default_rng(3).integers(0, 300, 3 * rans.BLOCK + 17).astype(np.uint32)
+    counts = np.array([10, len(ids) - 30, 20])
+    file = tmp_path / "m.rans"
+    file.write_bytes(b"".join(token_files.pack_shard(np.array([1, 2, 3]), np.array([1, 1, 0]), counts, ids)))
+    manifest = spark.createDataFrame([(5, f"file://{file}", 3, len(ids), 4)], "shard long, file string, n_docs long, n_tokens long, n_blocks long")
+    found = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_shards(manifest).collect()}
+    ends = np.cumsum(counts)
+    assert found == {name: (e - n, n, zlib.crc32(ids[e - n : e].astype("<u4").tobytes())) for name, n, e in zip((1, 2, None), counts.tolist(), ends.tolist())}
+
+
+def test_checksums_join():
+    rng = random.Random(4)
+    for _ in range(50):
+        a, b = rng.randbytes(rng.randrange(90)), rng.randbytes(rng.randrange(5000))
+        assert token_files.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
 def test_a_changed_block_is_noticed(spark, tmp_path):
     ids = np.arange(5000, dtype=np.uint32) % 97
     parts = b"".join(token_files.pack_shard(np.array([1]), np.array([1]), np.array([5000]), ids))
