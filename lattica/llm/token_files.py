@@ -40,8 +40,8 @@ HEAD = len(MAGIC) + 8
 SHARD_IDS, RANGE_BYTES = 1 << 24, 1 << 30
 #: Shards of one range are numbered within this many.
 SHARDS = 1 << 24
-#: Partitions that blocks are dealt to at most.
-MOST_TASKS = 20_000
+#: Blocks that a task decodes one after the other, with one reading of their shard's tables; partitions at most.
+TASK_BLOCKS, MOST_TASKS = 4, 20_000
 
 
 def _write(path: str, parts: list[bytes]) -> None:
@@ -197,9 +197,11 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     total = manifest.agg(F.sum("n_blocks")).first()[0] or 1
 
     def read(batches):
+        opened, shard = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row["file"])
+                if row["file"] != opened:
+                    opened, shard = row["file"], Shard(row["file"])
                 low, ids = shard.header["blocks"][row["block"]]["first"], shard.read_block(row["block"]).astype("<u4")
                 ends = np.cumsum(shard.counts)
                 starts = ends - shard.counts
@@ -226,7 +228,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def finished(rows):
         return pa.RecordBatch.from_pydict({to: pa.array([r[c] for r in rows], pa.int64()) for c, to in (("doc_id", "doc_id"), ("start", "start"), ("n_tokens", "n_tokens"), ("crc", "ids_crc32"))})
 
-    dealt = blocks.repartitionByRange(max(1, min(total, MOST_TASKS)), "shard", "block")
+    dealt = blocks.repartitionByRange(min(-(-total // TASK_BLOCKS), MOST_TASKS), "shard", "block").sortWithinPartitions("shard", "block")
     pieces = stored(dealt.mapInArrow(read, "shard long, doc long, doc_id long, start long, n_tokens long, first long, n long, crc long"), "pieces")
     whole = pieces.filter("n = n_tokens").select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
     parts = pieces.filter("n < n_tokens").repartition("shard", "doc").sortWithinPartitions("shard", "doc", "first")
