@@ -130,8 +130,8 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col:
     place = F.xxhash64("id").bitwiseAND((1 << bits) - 1)
     words = ids.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast((xxhash64(id) & {(1 << bits) - 1}) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
     bitmap = np.zeros(1 << (bits - 6), np.int64)
-    for w, found in words.toLocalIterator():
-        bitmap[w] = found
+    found = words.toArrow()  # in one job; two numbers for each 64 bits at most
+    bitmap[found["w"].to_numpy()] = found["bits"].to_numpy()
 
     def run(batches):
         for batch in batches:
