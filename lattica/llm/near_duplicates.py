@@ -37,8 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.skew import HOT_KEYS
 from . import blocks
-from .common import column, sliced, stored
+from .common import column, sliced, stored, stored_with
 from .forest import Forest
 from .order_minhash import mixed
 from .shingles import shingle_set
@@ -46,6 +47,8 @@ from .shingles import shingle_set
 SKETCH, RUNS = 64, 40
 #: Classes of a block, where all pairs of a group are compared.
 BLOCK = 512
+#: Copies of a class that are joined without a shuffle, more than that and than one of ``HOT_KEYS`` parts of all rows.
+HOT_ROWS = 1000
 #: Documents whose sets are needed, and of which a bitmap of eight bits each (16 MB at most) goes to the tasks.
 FILTER_IDS = 1 << 24
 
@@ -170,7 +173,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     if not 0 < percent <= 100:
         raise ValueError("a similarity is a share of 100")
     every = stored(sketches(docs, width, id_col, text_col), "sketches")
-    classes = every.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("id"))
+    classes, sums = stored_with(every.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "class-ids", F.sum("copies").alias("rows"))
     found = every.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "c1", "c2", "n", "sketch")
     reps = stored(found.join(classes, ["id", "c1", "c2", "n"], "left_semi").dropDuplicates(["id", "c1", "c2"]).select("id", "n", "sketch"), "classes")
     lists = stored(inverted_lists(reps, percent), "lists")
@@ -206,10 +209,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     if not rest.isEmpty():
         links = stored(links.unionByName(rest_links(rest)), "links")
         parts = connected_components(links, "a", "b")
-    whole = classes.join(parts, "id", "left").select("c1", "c2", "n", F.coalesce("component", "id").alias("component"))
-    out = every.select("doc_id", "n", "c1", "c2").join(whole, ["c1", "c2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    whole = classes.join(parts, "id", "left").select("c1", "c2", "n", "copies", F.coalesce("component", "id").alias("component"))
+    own, key = every.select("doc_id", "n", "c1", "c2"), ["c1", "c2", "n"]
+    # the rows of a class of very many copies stay where they are: at most HOT_KEYS classes can be as large
+    large = F.col("copies") > max(HOT_ROWS, (sums["rows"] or 0) // HOT_KEYS)
+    hot, worded = F.broadcast(whole.filter(large).drop("copies")), own.filter("n > 0")
+    cold = worded.join(hot, key, "left_anti").join(whole.filter(~large).drop("copies"), key)
+    out = worded.join(hot, key).select("doc_id", "n", "component").union(cold.select("doc_id", "n", "component")).union(own.filter("n = 0").select("doc_id", "n", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def one_row_an_id(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
