@@ -124,6 +124,16 @@ def test_edges_of_near_duplicates(spark):
         near_duplicates.near_duplicates(frame, 2, percent=0)
 
 
+def test_classes_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HOT_ROWS", 1)
+    rows = corpus(8)[:120]
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(40)]
+    frame = spark.createDataFrame([*rows, (None, rows[0][1]), (None, "of no other")], "doc_id long, text string")
+    out = near_duplicates.near_duplicates(frame, 2)
+    assert out.count() == len(rows) + 2
+    assert found(out) == brute(rows, 2)
+
+
 @pytest.mark.parametrize("percent", [95, 70, 40])
 def test_other_thresholds(spark, percent):
     rows = corpus(6)[:170]
