@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes
 from ..operators.structure import csr_offsets, degrees, endpoints, running
+from ..shipping import ship_modules
 from ..storage import file_system, new_path, released, rows_total, stored, stored_with
 
 RANGE = 1 << 23
@@ -111,6 +112,7 @@ def read_array(spark: SparkSession, path: str, kind: str = "<u4", offset: int =
                     values = np.frombuffer(source.read_at(n * record, offset + k * per * record), kind).reshape(n, width)
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * per, k * per + n)), *[pa.array(values[:, i].astype(np.float64 if real else np.int64)) for i in range(width)]], ["pos", *names])
 
+    ship_modules(spark)
     blocks = -(-total // per)
     schema = ", ".join(["pos long", *[f"{n} {'double' if real else 'long'}" for n in names]])
     return spark.range(0, blocks, 1, max(1, min(blocks, 10_000))).mapInArrow(run, schema)
@@ -131,6 +133,7 @@ def write_parts(rows: DataFrame, path: str, kind: str = "<u4") -> list[tuple[str
                 size += len(data)
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{path}/{name}"], "size": [size]})
 
+    ship_modules(rows.sparkSession)
     found = stored(rows.mapInArrow(write, "part long, file string, size long"), "parts")
     out = [(r.file, r.size) for r in sorted(found.collect())]
     released(found)

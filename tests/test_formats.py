@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
 from pathlib import Path
 
 import numpy as np
@@ -139,3 +142,19 @@ def test_entry_and_registry(spark):
     assert e.entry(spark).count() == 1990
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).filter(F.col("src") == F.col("dst")).count() == 0
+
+
+def test_workers_need_no_copy_of_the_library(tmp_path):
+    """Driver in another folder, workers without a path to the library."""
+    root = str(Path(__file__).resolve().parents[1])
+    lines = [
+        f"import sys; sys.path.insert(0, {root!r})",
+        "from pyspark.sql import SparkSession",
+        "from lattica.sources import formats",
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()",
+        f"formats.write_array(spark.range(5).select('id'), {str(tmp_path / 'a.bin')!r})",
+        f"print(formats.read_array(spark, {str(tmp_path / 'a.bin')!r}).count())",
+    ]
+    known = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", "\n".join(lines)], cwd=tmp_path, env=known, capture_output=True, text=True, timeout=300)
+    assert done.stdout.split() == ["5"], done.stderr[-2000:]
