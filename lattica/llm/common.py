@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship_modules
 from ..storage import file_system, new_path, released, rows_total, shared_dir, stored, stored_with  # noqa: F401
 
 #: Characters of text that a Python step turns into arrays at a time; longer texts go alone.
@@ -40,7 +38,6 @@ def sliced(batches: Iterator[pa.RecordBatch], at: int | str = 1, limit: int = SL
             yield batch.slice(first)
 
 
-_SHIPPED: set[str] = set()
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -52,13 +49,4 @@ def ship(spark: SparkSession) -> None:
     """
     if spark.conf.get(ARROW_ROWS) == "10000":
         spark.conf.set(ARROW_ROWS, "2000")
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parents[1]
-    name = f"{tempfile.mkdtemp(prefix='lattica-')}/{top.name}.zip"
-    with zipfile.ZipFile(name, "w") as out:
-        for file in sorted(top.rglob("*.py")):
-            out.write(file, file.relative_to(top.parent))
-    spark.sparkContext.addPyFile(name)  # Spark serves it from there for as long as it runs
-    _SHIPPED.add(app)
+    ship_modules(spark)
