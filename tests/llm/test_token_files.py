@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -41,6 +42,31 @@ def test_chunks_encode_as_the_library(plain):
         assert ids.tolist() == sum(expected, [])
 
 
+def test_known_chunks_make_no_objects():
+    own, text, alive = bpe.ChunkEncoder(BPE), "some words of a text\n" * 10_000, []
+    own.encode([text])
+    gather = own.gather
+    own.gather = lambda index: alive.append(sys.getallocatedblocks()) or gather(index)
+    before = sys.getallocatedblocks()
+    own.encode([text])
+    assert alive[0] - before < 5000  # of 50,000 chunks
+
+
+def test_chunks_of_every_length_encode_as_the_library():
+    """Around the 16 bytes that the table holds itself, with zero bytes, and so many that it grows."""
+    rng = random.Random(7)
+    texts = ["", "\0", "a\0", "a", "a\0\0 a\0 a", " " * 40, "x" * 70, " " * 16 + "x", "x,", ".", "é,", "1,", "日."]
+    texts += [" ".join(end * n + tail for n in range(20) for tail in ("", ",", "\0", "é.")) for end in ("a", "é", "日", "1")]
+    texts += [" ".join("".join(rng.choices("abdeiorst", k=7)) for _ in range(4000)) for _ in range(12)]
+    own = bpe.ChunkEncoder(BPE)
+    for _ in range(2):
+        for part in (texts[:20], texts[20:]):
+            ids, counts = own.encode(part)
+            expected = library(part)
+            assert counts.tolist() == [len(x) for x in expected] and ids.tolist() == sum(expected, [])
+    assert len(own.table.entry) > 1 << 16
+
+
 @pytest.mark.parametrize("n", [1, 2, 255, 257, 5000, rans.BLOCK])
 def test_coder_round_trip(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 50_000).astype(np.uint32)
