@@ -106,16 +106,25 @@ def read_array(spark: SparkSession, path: str, kind: str = "<u4", offset: int =
     def run(batches):
         where, at = file_system(path)
         with where.open_input_file(at) as source:
+            first, values = 0, np.empty((0, width), kind)
             for batch in batches:
-                for k in batch.column(0).to_pylist():
-                    n = min(per, total - k * per)
-                    values = np.frombuffer(source.read_at(n * record, offset + k * per * record), kind).reshape(n, width)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * per, k * per + n)), *[pa.array(values[:, i].astype(np.float64 if real else np.int64)) for i in range(width)]], ["pos", *names])
+                # the places of a task follow each other
+                places = batch.column(0).to_numpy()
+                low, high = (int(places[0]), int(places[-1]) + 1) if len(places) else (0, 0)
+                while low < high:
+                    if not first <= low < first + len(values):
+                        n = min(per, total - low)
+                        first, values = low, np.frombuffer(source.read_at(n * record, offset + low * record), kind).reshape(n, width)
+                    end = min(high, first + len(values))
+                    rows = values[low - first : end - first]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, end)), *[pa.array(rows[:, i].astype(np.float64 if real else np.int64)) for i in range(width)]], ["pos", *names])
+                    low = end
 
     ship_modules(spark)
     blocks = -(-total // per)
     schema = ", ".join(["pos long", *[f"{n} {'double' if real else 'long'}" for n in names]])
-    return spark.range(0, blocks, 1, max(1, min(blocks, 10_000))).mapInArrow(run, schema)
+    # one row a record, not one a block: from a few rows the planner would take any array for small enough to broadcast
+    return spark.range(0, total, 1, max(1, min(blocks, 10_000))).mapInArrow(run, schema)
 
 
 def write_parts(rows: DataFrame, path: str, kind: str = "<u4") -> list[tuple[str, int]]:

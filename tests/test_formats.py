@@ -80,6 +80,23 @@ def test_matrix_and_arrays(spark, tmp_path):
     assert sorted(r.v0 for r in formats.read_array(spark, f"file://{tmp_path}/ids.bin", "<u8").collect()) == [0, 1, 2, 3, 4]
 
 
+def test_arrays_are_joined_by_their_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "RANGE", 40_000)
+    path = f"file://{tmp_path}/long.bin"
+    np.arange(100_000, dtype="<u4")[::-1].tofile(f"{tmp_path}/long.bin")
+    rows = formats.read_array(spark, path)
+    assert rows.filter("pos + v0 = 99999").count() == rows.select("pos").distinct().count() == 100_000
+    assert formats.read_array(spark, path, offset=8, count=0).count() == 0
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        joined = rows.join(formats.read_array(spark, path).withColumnRenamed("v0", "w"), "pos")
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.filter("v0 = w").count() == 100_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_pivots(spark, tmp_path):
     edges = spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "src long, dst long")
     found = documents.pivot_edges(edges, "source")
