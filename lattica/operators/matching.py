@@ -27,10 +27,13 @@ def edge_candidates(edges: DataFrame, pattern: Pattern, k: int, candidates: Data
     return found.filter("src = dst") if u == v else found
 
 
-def edge_sizes(edges: DataFrame, pattern: Pattern) -> dict[int, int]:
-    """How many data edges each pattern edge may be, by labels: one scan, one row to the driver."""
+def edge_sizes(edges: DataFrame, pattern: Pattern) -> tuple[dict[int, int], dict[tuple[int, int], float]]:
+    """How many data edges each pattern edge (k) may be, by labels, and about how many of them a vertex at either end (k, u) has.
+
+    One scan, one row to the driver; ends are counted by sketches, since only the order of joins rests on them.
+    """
     if not pattern.edges:
-        return {}
+        return {}, {}
     met = []
     for k, (u, v, label) in enumerate(pattern.edges):
         wanted = F.lit(True)
@@ -38,8 +41,10 @@ def edge_sizes(edges: DataFrame, pattern: Pattern) -> dict[int, int]:
             if want is not None:
                 wanted &= F.col(name) == want
         met.append(F.count_if(wanted).alias(f"k{k}"))
+        met += [F.approx_count_distinct(F.when(wanted, F.col(end))).alias(f"{end}{k}") for end in ("src", "dst")]
     row = edges.agg(*met).first()
-    return {k: row[f"k{k}"] for k in range(len(pattern.edges))}
+    sizes = {k: row[f"k{k}"] for k in range(len(pattern.edges))}
+    return sizes, {(k, w): sizes[k] / max(1, row[f"{end}{k}"]) for k, (u, v, _) in enumerate(pattern.edges) for w, end in ((u, "src"), (v, "dst"))}
 
 
 def _different(bound: DataFrame, pattern: Pattern, fresh: list[int], have: list[int]) -> DataFrame:
@@ -78,8 +83,9 @@ def match(edges: DataFrame, pattern: Pattern, injective: bool = True, candidates
     """All embeddings, columns u0, u1, ...: directed, label-preserving, not induced.
 
     A fold of equi-joins on every pattern vertex that is bound already, from the
-    edge with the fewest candidates on (``given_order``: as the edges are given,
-    as far as they hang together). A vertex that several edges tie to bound ones
+    edge with the fewest candidates on, then always along the edge of which a
+    bound vertex has the fewest (``given_order``: as the edges are given, as far
+    as they hang together). A vertex that several edges tie to bound ones
     is reached, row by row, along the edge of least fan-out. Keys with very many
     rows are dealt to several tasks. With ``injective`` different pattern vertices
     take different data vertices; the test is left out where their labels differ.
@@ -94,7 +100,7 @@ def match(edges: DataFrame, pattern: Pattern, injective: bool = True, candidates
     alone = [min(p) for p in parts if len(p) == 1 and not any(min(p) in e[:2] for e in pattern.edges)]
     if alone and vertices is None:
         raise ValueError("a pattern vertex without edges needs the table of vertices")
-    order = pattern.order(as_given=True) if given_order else pattern.order(edge_sizes(edges, pattern) if len(pattern.edges) > 1 else None)
+    order = pattern.order(as_given=True) if given_order else pattern.order(*edge_sizes(edges, pattern) if len(pattern.edges) > 1 else ())
     step_of = {}
     for k, (u, v, _) in enumerate(pattern.edges):
         found = edge_candidates(edges, pattern, k, candidates)

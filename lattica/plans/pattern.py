@@ -13,12 +13,14 @@ class Pattern:
     labels: tuple[int | None, ...]
     edges: tuple[tuple[int, int, int | None], ...]
 
-    def order(self, sizes: dict[int, int] | None = None, as_given: bool = False) -> list[int]:
+    def order(self, sizes: dict[int, int] | None = None, fan: dict[tuple[int, int], float] | None = None, as_given: bool = False) -> list[int]:
         """Edge numbers, each after the first sharing a vertex with those before where one can.
 
-        Edges that close a cycle come as soon as they can; among others the one
-        with the fewest candidates (``sizes``), else the first given. ``as_given``:
-        of those that share a vertex, the first given.
+        Edges that close a cycle come as soon as they can; among others the one of
+        which a bound vertex has the fewest (``fan``, by edge and vertex), then the
+        one with the fewest candidates (``sizes``), else the first given. A few
+        edges that all lead to a hub would multiply what is bound. ``as_given``: of
+        those that share a vertex, the first given.
         """
         left, bound, out = list(range(len(self.edges))), set(), []
         while left:
@@ -26,7 +28,8 @@ class Pattern:
             def cost(k: int) -> tuple:
                 u, v, _ = self.edges[k]
                 ties = (u in bound) + (v in bound)
-                return (not ties, 0, k) if as_given else (0 if ties == 2 else 1 if ties else 2, (sizes or {}).get(k, 0), k)
+                met = min(((fan or {}).get((k, w), 0) for w in (u, v) if w in bound), default=0)
+                return (not ties, 0, 0, k) if as_given else (0 if ties == 2 else 1 if ties else 2, met, (sizes or {}).get(k, 0), k)
 
             k = min(left, key=cost)
             left.remove(k)

@@ -185,6 +185,17 @@ def test_matching(spark, pattern):
     assert all((u, v) in fixed for bind in homo for u, v in enumerate(bind))
 
 
+def test_hubs_do_not_multiply_what_is_bound(spark):
+    # 5 sellers and 40 buyers share one place: along it each seller meets all buyers
+    edges = [(100 + b, 200 + b) for b in range(40)] + [(200 + b, 300 + b % 5) for b in range(40)] + [(300 + s, 400) for s in range(5)] + [(100 + b, 400) for b in range(40)]
+    label = {v: v // 100 for e in edges for v in e}
+    circle = Pattern((1, 2, 3, 4), ((0, 1, None), (1, 2, None), (2, 3, None), (0, 3, None)))
+    _, rows = labelled(spark, edges, label)
+    order = circle.order(*matching.edge_sizes(rows, circle))
+    assert order[0] == 2 and order.index(3) == 3
+    assert pairs(matching.match(rows, circle), "u0", "u1", "u2", "u3") == sorted(embeddings(edges, label, circle, True))
+
+
 def test_refinement_goes_on_to_the_fixpoint(spark):
     vertices, rows = labelled(spark, [(i, i + 1) for i in range(43)], dict.fromkeys(range(44), 0))
     circle = Pattern((None, None), ((0, 1, None), (1, 0, None)))
