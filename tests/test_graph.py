@@ -8,7 +8,7 @@ from collections import Counter, defaultdict, deque
 
 import pytest
 
-from lattica.operators import components, filters, matching, partition, sets, skew, structure, tiled, traversal
+from lattica.operators import components, filters, matching, partition, products, sets, skew, structure, tiled, traversal
 from lattica.plans.pattern import Pattern
 
 README = [(0, 1), (1, 2), (2, 0), (3, 4), (4, 3)]
@@ -185,6 +185,27 @@ def test_matching(spark, pattern):
     assert all((u, v) in fixed for bind in homo for u, v in enumerate(bind))
 
 
+@pytest.mark.parametrize("held, made", [(1 << 23, 1 << 21), (7, 5), (40, 1)])
+def test_products_are_made_in_blocks(spark, monkeypatch, held, made):
+    monkeypatch.setattr(products, "HELD", held)
+    monkeypatch.setattr(products, "MADE", made)
+    rng = random.Random(made)
+    # one vertex with very many edges, a thin part with far ids, and ids that are null
+    edges = sorted({(0, rng.randrange(60)) for _ in range(200)} | {(rng.randrange(60), rng.randrange(0, 4000, 7)) for _ in range(150)} | {(rng.randrange(60), rng.randrange(60)) for _ in range(150)})
+    g = spark.createDataFrame(edges, "src long, dst long")
+    walk = {(a, c) for a, b in edges for x, c in edges if b == x and len({a, b, c}) == 3}
+    assert pairs(traversal.walks(g, g), "src", "dst") == sorted(walk)
+    assert traversal.walk_count(g, g).first().n == len(walk)
+    scope = -(-(max(map(max, walk)) + 1) // 4)
+    assert {(r.block_x, r.block_y): r.n_edges for r in traversal.walk_blocks(g, g, 4).collect()} == Counter((a // scope, b // scope) for a, b in walk)
+    rows, found = traversal.walk_tile_rows(g, g, 4, 256)
+    assert found == scope
+    cut = sorted((r.block_x * scope + r.tile_x * 256 + r.x_in, r.block_y * scope + r.tile_y * 256 + y) for r in rows.collect() for y in r.cols)
+    assert cut == sorted(walk) and rows.select("block_x", "block_y", "tile_x", "tile_y", "x_in").distinct().count() == rows.count()
+    null = spark.createDataFrame([(None, 1), (1, None), (1, 2), (2, 1)], "src long, dst long")
+    assert {(r.i, r.j) for r in traversal.boolean_product(null, null).collect()} == {(None, None), (None, 2), (1, 1), (2, None), (2, 2)}
+
+
 def test_hubs_do_not_multiply_what_is_bound(spark):
     # 5 sellers and 40 buyers share one place: along it each seller meets all buyers
     edges = [(100 + b, 200 + b) for b in range(40)] + [(200 + b, 300 + b % 5) for b in range(40)] + [(300 + s, 400) for s in range(5)] + [(100 + b, 400) for b in range(40)]
