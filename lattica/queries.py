@@ -404,7 +404,7 @@ def pivot_single(spark, sf_dir):
 def pivot_round_trip(spark, sf_dir):
     """Documents written as JSON lines and read again with the filter at the reader."""
     path = new_path(spark, "pivots")
-    documents.pivot_documents(documents.pivot_edges(supply_graph(spark, sf_dir), "source"), 7, 1, "2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z").write.json(path)
+    documents.pivot_documents(documents.pivot_edges(supply_graph(spark, sf_dir), "source"), 7, 1, "2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z").write.json(path, compression="gzip")
     return formats.read_pivots(spark, path, graph_id=7, business_id=1).select("graph_id", "pivot_graph_id", "src", "dst", "label")
 
 

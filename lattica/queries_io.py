@@ -234,7 +234,7 @@ def grid_tiled_block(spark, sf_dir):
 
 def _pivots(spark, sf_dir, kinds: int = 1) -> str:
     path = new_path(spark, "pivots")
-    documents.write_pivots(documents.pivot_edges(supply_graph(spark, sf_dir), "source"), path, 7, 1, "2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z", kinds)
+    documents.write_pivots(documents.pivot_edges(supply_graph(spark, sf_dir), "source"), path, 7, 1, "2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z", kinds, compression="gzip")
     return path
 
 

@@ -108,6 +108,19 @@ def test_pivots(spark, tmp_path):
     assert edges_of(formats.read_pivots(spark, str(tmp_path / "flat.json"))) == [(1, 2)]
 
 
+def test_pivots_are_shuffled_as_ids_and_written_packed(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "src long, dst long")
+    found = documents.pivot_edges(edges, "source")
+    plan = documents.pivot_documents(found, 3, 9, "t", "p")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(struct(src" in plan
+    for name, how in (("plain", "none"), ("packed", "gzip")):
+        documents.write_pivots(found, str(tmp_path / name), 3, 9, "t", "p", compression=how)
+    for part in ("pivot_graphs", "pivot_graph_ids", "graph_structure"):
+        plain, packed = (sorted(r.value for r in spark.read.text(str(tmp_path / name / part)).collect()) for name in ("plain", "packed"))
+        assert plain == packed and list((tmp_path / "packed" / part).glob("*.json.gz"))
+    assert edges_of(formats.read_pivots(spark, str(tmp_path / "packed" / "pivot_graphs"), 3, 9)) == [(1, 2), (1, 3), (4, 5)]
+
+
 def test_random_graph_and_logs(spark, tmp_path):
     vertices, edges = formats.random_graph(spark, 30, 60, seed=3)
     have = set(edges_of(edges))
