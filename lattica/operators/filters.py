@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes
 from ..plans.pattern import Pattern
-from ..storage import rows_total, stored_with
+from ..storage import dealt, rows_total, stored_with
 from .structure import degrees
 
 #: How many least hashes the k-min-wise sketch keeps.
@@ -45,7 +45,7 @@ def _label_counts(edges: DataFrame) -> DataFrame:
     """v, side, label, n: distinct neighbours of each label."""
     out = edges.select(F.col("src").alias("v"), F.lit("out").alias("side"), F.col("dst_label").alias("label"), F.col("dst").alias("w"))
     into = edges.select(F.col("dst").alias("v"), F.lit("in").alias("side"), F.col("src_label").alias("label"), F.col("src").alias("w"))
-    return out.union(into).distinct().groupBy("v", "side", "label").agg(F.count("*").alias("n"))
+    return dealt(out.union(into), "v", "side", "label", "w").distinct().groupBy("v", "side", "label").agg(F.count("*").alias("n"))
 
 
 def _variety(counts: dict) -> int:
@@ -138,7 +138,7 @@ STEPS = {"degree": by_degree, "out_degree": by_out_degree, "variety": by_label_v
 
 def filtered(vertices: DataFrame, edges: DataFrame, pattern: Pattern, *names: str) -> DataFrame:
     """Label candidates through the named filters in turn."""
-    out = by_label(vertices, pattern)
+    out = dealt(by_label(vertices, pattern), "v") if names else by_label(vertices, pattern)
     for name in names:
         out = STEPS[name](out, edges, pattern)
     return out

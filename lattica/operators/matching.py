@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern
-from ..storage import stored
+from ..storage import dealt, stored
 from .filters import by_label
 from .skew import spread_join
 
@@ -23,7 +23,7 @@ def edge_candidates(edges: DataFrame, pattern: Pattern, k: int, candidates: Data
     found = found.select("src", "dst").distinct()
     if candidates is not None:
         for end, w in (("src", u), ("dst", v)):
-            found = found.join(candidates.filter(F.col("u") == w).select(F.col("v").alias(end)), end, "left_semi")
+            found = found.join(dealt(candidates.filter(F.col("u") == w).select(F.col("v").alias(end)), end), end, "left_semi")
     return found.filter("src = dst") if u == v else found
 
 
@@ -167,6 +167,7 @@ def factorised(edges: DataFrame, pattern: Pattern, root: int = 0) -> DataFrame:
             fresh = []
         else:
             at, end = (a, "src") if how == "out" else (b, "dst")
+            found = dealt(found, end)
             step = reached[at].join(found, reached[at]["at"] == found[end]).select("root", "src", "dst")
             fresh = [(b, "dst") if how == "out" else (a, "src")]
         for w, end in fresh:
@@ -216,7 +217,7 @@ def refine(vertices: DataFrame, edges: DataFrame, pattern: Pattern, max_rounds:
                 part = live.select(F.lit(w).cast("long").alias("u"), F.col(end).alias("v")).distinct()
                 met = part if met is None else met.union(part)
         held = met.groupBy("u", "v").agg(F.count("*").alias("n"))
-        now = stored(now.join(wanted, "u").join(held, ["u", "v"], "left").filter(F.coalesce("n", F.lit(0)) == F.col("need")).select("u", "v"), "candidates")
+        now = stored(dealt(now, "u", "v").join(wanted, "u").join(held, ["u", "v"], "left").filter(F.coalesce("n", F.lit(0)) == F.col("need")).select("u", "v"), "candidates")
         if (left := now.count()) == size:
             return now
         size = left

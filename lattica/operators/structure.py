@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashes
-from ..storage import stored
+from ..storage import dealt, stored
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def transpose(edges: DataFrame) -> DataFrame:
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Every edge both ways, once."""
-    return edges.select("src", "dst").union(transpose(edges).select("src", "dst")).distinct()
+    return dealt(edges.select("src", "dst").union(transpose(edges).select("src", "dst")), "src", "dst").distinct()
 
 
 def induced_view(edges: DataFrame, strategy: str) -> DataFrame:

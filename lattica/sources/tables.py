@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import dealt
+
 #: Vertex ids of the property graph are label * SPACE + key.
 SPACE = 1_000_000_000
 CUSTOMER, ORDER, PART, SUPPLIER, NATION = 1, 2, 3, 4, 5
@@ -16,12 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges order -> customer in one id space: out-degree 1, long paths."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("src"), F.col("o_custkey").cast("long").alias("dst")).distinct()
+    return dealt(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("src"), F.col("o_custkey").cast("long").alias("dst")), "src", "dst").distinct()
 
 
 def supply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges part -> supplier in one id space: a dense core."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("src"), F.col("l_suppkey").cast("long").alias("dst")).distinct()
+    return dealt(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("src"), F.col("l_suppkey").cast("long").alias("dst")), "src", "dst").distinct()
 
 
 def property_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +43,7 @@ def property_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         part = t(name).select(key(label, c).alias("id"), F.lit(label).cast("long").alias("label"))
         vertices = part if vertices is None else vertices.union(part)
     for label, name, a, ca, b, cb in ties:
-        part = t(name).select(key(a, ca).alias("src"), key(b, cb).alias("dst")).distinct()
+        part = dealt(t(name).select(key(a, ca).alias("src"), key(b, cb).alias("dst")), "src", "dst").distinct()
         part = part.select("src", "dst", *[F.lit(x).cast("long").alias(n) for x, n in ((label, "label"), (a, "src_label"), (b, "dst_label"))])
         edges = part if edges is None else edges.union(part)
     return vertices, edges

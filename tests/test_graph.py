@@ -217,6 +217,15 @@ def test_hubs_do_not_multiply_what_is_bound(spark):
     assert pairs(matching.match(rows, circle), "u0", "u1", "u2", "u3") == sorted(embeddings(edges, label, circle, True))
 
 
+def test_shares_of_large_steps_are_not_joined(spark):
+    # adaptive execution would make one task of so few rows, and ten of any number: a task's share then grows with the input
+    edges, label = graph(5, 8, 26)
+    vertices, rows = labelled(spark, edges, label)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert structure.symmetric(rows).rdd.getNumPartitions() == parts
+    assert filters.filtered(vertices, rows, PATTERNS[1], "degree").rdd.getNumPartitions() == parts
+
+
 def test_refinement_goes_on_to_the_fixpoint(spark):
     vertices, rows = labelled(spark, [(i, i + 1) for i in range(43)], dict.fromkeys(range(44), 0))
     circle = Pattern((None, None), ((0, 1, None), (1, 0, None)))
