@@ -31,8 +31,8 @@ def block_stats(blocks: DataFrame) -> DataFrame:
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
-    """One folder a block; a reader that asks for a block opens only its folder."""
-    blocks.repartition("block_x", "block_y").write.partitionBy("block_x", "block_y").parquet(path)
+    """One folder a block; a reader that asks for a block opens only its folder. A block of many rows is written by many tasks."""
+    blocks.repartition("block_x", "block_y", F.pmod(F.xxhash64("src", "dst"), F.lit(64))).write.partitionBy("block_x", "block_y").parquet(path)
 
 
 def read_block(spark, path: str, x: int, y: int) -> DataFrame:
